@@ -91,7 +91,7 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], ["label", "buckets", "counts"])
 
 
-def train(labels: np.ndarray, buckets: list[np.ndarray], counts: list[np.ndarray], prior: float, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(labels: np.ndarray, buckets: list[np.ndarray], counts: list[np.ndarray], prior: float, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
     """(score of each bucket, bias): the log odds of label 1 are the mean bucket score plus the bias."""
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
@@ -128,7 +128,7 @@ def held_out(id_col: str):
 
 
 def score(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, per_class: int = 2500
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, per_class: int = 1500
 ) -> DataFrame:
     """id_col, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= threshold, else 0).
 

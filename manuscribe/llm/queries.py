@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_score, minhash, packing, quality, token_count
+from . import embedding_dedup, lm_score, minhash, packing, quality, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, similarity=(85, 100))
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors with a cosine of 0.9 or more."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in windows of 2,048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -37,5 +42,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_lexical_packing, op5_minhash_near_dedup, op6_lm_score, op7_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_lexical_packing, op5_minhash_near_dedup, op6_lm_score, op7_quality, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
