@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, lm_score, minhash, packing, quality, token_count
+from . import chat_format, decontam, embedding_dedup, license_scan, lm_score, minhash, packing, quality, token_count, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat_format.render(_table(spark, sf_dir, "conversations"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the archives."""
+    return warc.archive(_table(spark, sf_dir, "pages"))
+
+
 def op4_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in windows of 2,048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -37,10 +47,34 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License wordings in every document."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.templates(spark))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document."""
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_count.token_counts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_lexical_packing, op5_minhash_near_dedup, op6_lm_score, op7_quality, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op2_chat_format,
+        op3_warc,
+        op4_lexical_packing,
+        op5_minhash_near_dedup,
+        op6_lm_score,
+        op7_quality,
+        op8_license_scan,
+        op9_decontamination,
+        op10_token_counts,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
