@@ -116,22 +116,26 @@ def straight_double_odd(line: Column) -> Column:
     return (F.length(line) - F.length(F.replace(line, F.lit("\""), F.lit("")))) % 2 == 1
 
 
-def line_issues(ls: DataFrame, intended: bool = False) -> DataFrame:
-    """(type, doc_id, line_no, line) of every rule that needs one line only, but repeated words."""
+def line_issues(ls: DataFrame, intended: bool = False, only: set[str] | None = None) -> DataFrame:
+    """(type, doc_id, line_no, line) of every rule that needs one line only, but repeated words.
+
+    `only` names the rules wanted; "ellipsis" stands for its four faults.
+    """
     line = F.col("line")
-    patterns = SEARCHES | (INTENDED if intended else {})
-    hits = [F.struct(F.lit(name).alias("type"), line.rlike(p).alias("hit")) for name, p in patterns.items()]
-    for name, hit in (
-        ("en_dash", en_dash(line, intended)),
-        ("multi_punct", multi_punct(line)),
-        ("smart_single_open", smart_single_open(line)),
-        ("straight_double_odd", straight_double_odd(line)),
-        ("straight_single_odd", straight_single_odd(line)),
-    ):
-        hits.append(F.struct(F.lit(name).alias("type"), hit.alias("hit")))
-    fault = ellipsis_fault(line)
-    hits.append(F.struct(F.concat(F.lit("ellipsis_"), fault).alias("type"), fault.isNotNull().alias("hit")))
-    return ls.select("doc_id", "line_no", "line", F.inline(F.filter(F.array(*hits), lambda x: x["hit"]))).select("type", "doc_id", "line_no", "line")
+    hits = [(name, lambda p=p: line.rlike(p)) for name, p in (SEARCHES | (INTENDED if intended else {})).items()]
+    hits += [
+        ("en_dash", lambda: F.contains(line, F.lit("–")) & en_dash(line, intended)),
+        ("multi_punct", lambda: line.rlike(r"[!?]{3}|\.{4}") & multi_punct(line)),
+        ("smart_single_open", lambda: F.contains(line, F.lit("‘")) & smart_single_open(line)),
+        ("straight_double_odd", lambda: F.contains(line, F.lit("\"")) & straight_double_odd(line)),
+        ("straight_single_odd", lambda: F.contains(line, F.lit("'")) & straight_single_odd(line)),
+    ]
+    array = [F.struct(F.lit(name).alias("type"), hit().alias("hit")) for name, hit in hits if only is None or name in only]
+    if only is None or "ellipsis" in only:
+        fault = F.when(F.contains(line, F.lit("…")), ellipsis_fault(line))
+        array.append(F.struct(F.concat(F.lit("ellipsis_"), fault).alias("type"), F.lit(True).alias("hit")))
+    wanted = lambda x: x["hit"] & x["type"].isNotNull()
+    return ls.select("doc_id", "line_no", "line", F.inline(F.filter(F.array(*array), wanted))).select("type", "doc_id", "line_no", "line")
 
 
 def repeated_words(ls: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
@@ -154,7 +158,7 @@ def line_end_comma(ls: DataFrame, accepted: DataFrame | None = None) -> DataFram
         ls = ls.join(F.broadcast(accepted.select(F.col("line").alias("_l"))), F.regexp_replace("line", r"(?U)^\s+|\s+$", "") == F.col("_l"), "left_anti")
     told = ls.filter(F.col("line").rlike(r"(?U)\S"))
     nxt = F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    told = told.withColumn("_next", nxt).filter(F.col("line").rlike(r"(?U).+,\s*$"))
+    told = told.withColumn("_next", nxt).filter(F.col("line").rlike(r"(?U).,\s*$"))
     excused = F.coalesce(_starts(F.col("_next"), f"^[{OPENERS}]") | _starts(F.col("_next"), r"(?iU)^(?:and|but|so|or|then|yet)\b"), F.lit(False))
     return told.filter(~excused).select(F.lit("line_end_comma").alias("type"), "doc_id", "line_no", "line")
 
