@@ -77,4 +77,27 @@ QUERIES = {
         op10_token_counts,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_SETS = """w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+    u AS (SELECT doc_id, unnest(s) AS x FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN s sa ON a = sa.doc_id JOIN s sb ON b = sb.doc_id WHERE 100 * i >= 85 * (len(sa.s) + len(sb.s) - i))"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        r AS (SELECT vec_id AS n, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.n = l.a)
+        SELECT n AS vec_id, (SELECT count(*) FROM l WHERE l.a = n) AS n_links, min(c) AS component_id, n = min(c) AS kept FROM r GROUP BY n""",
+    "op2_chat_format": """WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+        c AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS l FROM t GROUP BY conv_id),
+        k AS (SELECT conv_id, l, (SELECT count(*) FROM c o WHERE o.l = c.l) AS copies FROM c
+              WHERE NOT EXISTS (SELECT 1 FROM c o WHERE (len(o.l) > len(c.l) AND o.l[1:len(c.l)] = c.l) OR (o.l = c.l AND o.conv_id < c.conv_id))),
+        b AS (SELECT t.conv_id, turn // 256 AS block, count(*) AS n_rows, any_value(copies) AS copies, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS chat FROM t JOIN k USING (conv_id) GROUP BY 1, 2)
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY block) - 1 AS part, n_rows, copies, chat FROM b""",
+    "op3_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, coalesce(url, 'urn:page:' || page_id) AS url FROM pages), d AS (SELECT *, strlen(h) AS b, sha256(h) AS d FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM d)
+        SELECT page_id, b AS payload_bytes, d AS payload_digest, CASE WHEN b >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN b >= 100 AND page_id <> first THEN first END AS refers_to, regexp_replace(url, '[\\x00-\\x20]', '%20', 'g') AS target_uri FROM f""",
+    "op5_minhash_near_dedup": f"""WITH RECURSIVE {_SETS}, r AS (SELECT doc_id AS n, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON r.n = l.a)
+        SELECT n AS doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(c) AS component_id, n = min(c) AS kept FROM r JOIN s ON s.doc_id = n GROUP BY n""",
+}
