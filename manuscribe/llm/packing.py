@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +47,14 @@ class WordTokenizer:
         self.bounds = [0]
 
     def _learn(self, keys: list[int], texts: list[str]) -> None:
-        for key, e in zip(keys, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            ids, lo = e.ids, self.bounds[-1]
-            if lo + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-            self.flat[lo : lo + len(ids)] = ids
-            self.at[key] = len(self.bounds) - 1
-            self.bounds.append(lo + len(ids))
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        lo, n, known = self.bounds[-1], int(sizes.sum()), len(self.at)
+        if lo + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), np.int32)])
+        self.flat[lo : lo + n] = np.fromiter(chain.from_iterable(ids), np.int32, n)
+        self.at.update(zip(keys, range(known, known + len(keys)), strict=True))
+        self.bounds.extend((lo + np.cumsum(sizes)).tolist())
 
     def encode(self, column: pa.Array, end: int | None = None) -> Iterator[np.ndarray]:
         """The ids of each text in order, with `end` after them."""
