@@ -12,8 +12,9 @@ only under the first so many that a pair with enough overlap must still meet
 in one of them. In each list, every member first meets the list's smallest
 member. Classes that this connects need no further test between them: a second
 pass tests, in each list, only pairs from different components, each with one
-side outside the list's largest component, and only if the shingles that\nother texts of the lists hold leave room for enough overlap. Links decide components, and no
-component can lose or gain a member by the tests left out.
+side outside the list's largest component, and only if the shingles that
+other texts of the lists hold leave room for enough overlap. Links decide
+components, and no component can lose or gain a member by the tests left out.
 """
 
 from __future__ import annotations
