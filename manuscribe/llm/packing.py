@@ -11,6 +11,7 @@ padding, so nothing is padded.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Pairs, ranges
 from .textarrays import FOLDED, chunks, hashes, running, spans, words
 
 #: Terms are word hashes modulo this; it bounds the frequency table at 2 MB.
@@ -33,8 +35,25 @@ MEMO = 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Byte classes of a plain word: letter, digit, other; words with any further byte or a Latin-1 sign go to the library.
+LETTER, DIGIT, SIGN = 1, 2, 3
+PLAIN = np.zeros(256, np.int8)
+PLAIN[0x21:0x7F] = SIGN
+PLAIN[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+PLAIN[0x30:0x3A] = DIGIT
+#: These begin contractions and special strings.
+PLAIN[[ord("'"), ord("<")]] = 0
+#: Words of more bytes go to the library.
+LONG_WORD = 64
+
+
 class WordTokenizer:
-    """Ids of texts whose tokenizer never joins anything across white space: each different word is encoded once."""
+    """Ids of texts whose tokenizer never joins anything across white space: each different word is encoded once.
+
+    Plain words, of ASCII and Latin-1 letters, digits and signs, are split and
+    merged as arrays, all new ones of a batch together; the library encodes the
+    others, and all of them if the file's rules are not the known ones.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,22 +61,94 @@ class WordTokenizer:
         # every core runs a task of its own: the library's threads would only contend
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.pairs = None
+        with open(path, encoding="utf-8") as f:
+            self._plain_rules(json.load(f))
         self.clear()
 
+    def _plain_rules(self, spec: dict) -> None:
+        model = spec["model"]
+        vocab, end = model.get("vocab", {}), model.get("end_of_word_suffix") or ""
+        # printable Latin-1 stands for itself, the other bytes for what follows U+00FF
+        printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        rest = iter(range(0x100, 0x200))
+        chars = [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+        if model["type"] != "BPE" or not all(c in vocab and c + end in vocab for c in chars):
+            return
+        self.inner = np.array([vocab[c] for c in chars], np.int32)
+        self.last = np.array([vocab[c + end] for c in chars], np.int32)
+        m = len(vocab)
+        merges = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+        left, right, made = (np.array([vocab[f(x)] for x in merges], np.int64) for f in (lambda x: x[0], lambda x: x[1], "".join))
+        self.pairs = Pairs(m, left * m + right, np.arange(len(merges)), made)
+        probes = ["Plain", "a1b22c", "x--y...", "caf\u00e9\u00c9t\u00c9\u00df", "(word),", "\u00bfqu\u00e9?", "Z" * 40, "\"A.B.C.\"", "3.14%", "m\u00fc\u00dcLL-er_9"]
+        raw = [p.encode() for p in probes]
+        ends = np.cumsum([len(r) for r in raw])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        plain, ids, sizes = self._merge_plain(data, ends - [len(r) for r in raw], ends)
+        want = [e.ids for e in self.tokenizer.encode_batch_fast([p for p, x in zip(probes, plain, strict=True) if x], add_special_tokens=False)]
+        if ids.tolist() != list(chain.from_iterable(want)) or sizes.tolist() != list(map(len, want)):
+            self.pairs = None
+
+    def _merge_plain(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which words are plain, ids of these, their numbers)."""
+        lens = ends - starts
+        flat = data[ranges(starts, lens)]
+        kind = PLAIN[flat]
+        upper = np.where((flat >= 0x41) & (flat <= 0x5A), 0x20, 0).astype(np.uint8)
+        lead = np.flatnonzero(flat[:-1] == 0xC3)
+        low = flat[lead + 1]
+        lead = lead[(low != 0x97) & (low != 0xB7)]
+        kind[lead] = kind[lead + 1] = LETTER
+        upper[lead[(flat[lead + 1] <= 0x9E)] + 1] = 0x20
+        plain = (np.minimum.reduceat(kind, np.cumsum(lens) - lens) > 0) & (lens <= LONG_WORD)
+        stay = np.repeat(plain, lens)
+        flat, kind, lens = (flat + upper)[stay], kind[stay], lens[plain]
+        n = len(flat)
+        if not n:
+            return plain, np.zeros(0, np.int32), np.zeros(0, np.int64)
+        begins = np.cumsum(lens) - lens
+        cut = np.ones(n, bool)
+        cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        cut[begins] = True
+        s = np.flatnonzero(cut)
+        e = np.append(s[1:], n)
+        _, first, inv = np.unique(hashes(running(flat), s, e), return_index=True, return_inverse=True)
+        us, ul = s[first], e[first] - s[first]
+        sym = self.inner[flat[ranges(us, ul)]]
+        sym[np.cumsum(ul) - 1] = self.last[flat[e[first] - 1]]
+        ids, size = self.pairs.merged(sym, ul)
+        at, count = (np.cumsum(size) - size)[inv], size[inv]
+        return plain, ids[ranges(at, count)], np.add.reduceat(count, np.searchsorted(s, begins))
+
     def clear(self) -> None:
         self.at: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
-        self.bounds = [0]
+        self.bounds = np.zeros(MEMO + 2, np.int64)
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        lo, n, known = self.bounds[-1], int(sizes.sum()), len(self.at)
+    def _store(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, known = len(ids), len(self.at)
+        lo = int(self.bounds[known])
         if lo + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), np.int32)])
-        self.flat[lo : lo + n] = np.fromiter(chain.from_iterable(ids), np.int32, n)
+        self.flat[lo : lo + n] = ids
         self.at.update(zip(keys, range(known, known + len(keys)), strict=True))
-        self.bounds.extend((lo + np.cumsum(sizes)).tolist())
+        if known + len(keys) >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros(len(keys), np.int64)])
+        self.bounds[known + 1 : known + len(keys) + 1] = lo + np.cumsum(sizes)
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        other = np.ones(len(keys), bool)
+        if self.pairs is not None:
+            plain, ids, sizes = self._merge_plain(data, starts, ends)
+            self._store(keys[plain].tolist(), ids, sizes)
+            other = ~plain
+        if other.any():
+            raw = data.tobytes()
+            texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(starts[other].tolist(), ends[other].tolist(), strict=True)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            self._store(keys[other].tolist(), np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())), sizes)
 
     def encode(self, column: pa.Array, end: int | None = None) -> Iterator[np.ndarray]:
         """The ids of each text in order, with `end` after them."""
@@ -67,16 +158,14 @@ class WordTokenizer:
             if len(self.at) + len(uniq) > MEMO:
                 self.clear()
             keys = uniq.tolist()
-            miss = [i for i, k in enumerate(keys) if k not in self.at]
-            if miss:
-                s, e = starts[first[miss]].tolist(), ends[first[miss]].tolist()
-                raw = data.tobytes()
-                self._learn([keys[i] for i in miss], [raw[x:y].decode("utf-8", "replace") for x, y in zip(s, e, strict=True)])
-            slot = np.array([self.at[k] for k in keys], np.int64)[inv]
-            b = np.array(self.bounds)
-            size = b[slot + 1] - b[slot]
+            miss = np.array([i for i, k in enumerate(keys) if k not in self.at], np.int64)
+            if len(miss):
+                self._learn(uniq[miss], data, starts[first[miss]], ends[first[miss]])
+            slot = np.array([self.at[k] for k in keys], np.int64)
+            at = self.bounds[slot]
+            size = (self.bounds[slot + 1] - at)[inv]
             total = np.concatenate([[0], np.cumsum(size)])
-            ids = self.flat[np.repeat(b[slot] - total[:-1], size) + np.arange(total[-1])]
+            ids = self.flat[ranges(at[inv], size)]
             for r in range(len(bounds) - 1):
                 own = ids[total[bounds[r]] : total[bounds[r + 1]]]
                 yield own if end is None else np.append(own, np.int32(end))

@@ -20,15 +20,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import NONE, Pairs
 from .textarrays import chunks, hashes, mix, running, utf8
 
 SPACE = "▁"
-NONE = np.int32(2**31 - 1)
 #: A worker remembers the counts of so many pre-tokens, then starts over; longer pre-tokens merge in a heap.
 MEMO, LONG = 400_000, 256
 
 
-class PieceCounter:
+class PieceCounter(Pairs):
     """The vocabulary of one model as arrays: symbols, pairs, ranks."""
 
     def __init__(self, path: str):
@@ -40,8 +40,8 @@ class PieceCounter:
         known = set(names)
         names += sorted({c for p in names for c in p} - known)
         sid = {p: i for i, p in enumerate(names)}
-        self.m = len(names) + 5
-        self.cost = np.ones(self.m, np.int64)
+        m = len(names) + 5
+        self.cost = np.ones(m, np.int64)
         for p, i in sid.items():
             if p not in known:
                 self.cost[i] = len(p.encode())
@@ -60,13 +60,10 @@ class PieceCounter:
             for j in range(1, len(p)):
                 left, right = sid.get(p[:j]), sid.get(p[j:])
                 if left is not None and right is not None:
-                    keys.append(left * self.m + right)
+                    keys.append(left * m + right)
                     ranks.append(r)
                     made.append(sid[p])
-        order = np.argsort(keys, kind="stable")
-        self.keys = np.array(keys, np.int64)[order]
-        self.ranks = np.array(ranks, np.int32)[order]
-        self.made = np.array(made, np.int32)[order]
+        super().__init__(m, np.array(keys), np.array(ranks), np.array(made))
         spanning = {c for p in names if len(p) > 1 for c in p}
         self.lone = np.array([b < 0x80 and b != 0x20 and chr(b) not in spanning for b in range(256)])
         if any(SPACE in p.lstrip(SPACE) for p in names):
@@ -76,48 +73,11 @@ class PieceCounter:
             if self.count(pa.array([probe]))[0] != len(model.encode(probe)):
                 raise ValueError(f"this model normalises texts in a way not known here: {probe!r}")
 
-    def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, merged symbol) of symbol pairs; rank NONE where no piece joins them."""
-        key = left.astype(np.int64) * self.m + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], NONE), self.made[at]
-
     def merge(self, sym: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Tokens of each of the sequences that lie one after another in sym."""
         out = np.zeros(len(lens), np.int64)
-        who = np.flatnonzero(lens > 0)
-        lens = lens[who]
-        ends = np.cumsum(lens)
-        rank, made = np.full(len(sym), NONE), np.zeros(len(sym), np.int32)
-        rank[:-1], made[:-1] = self.pair(sym[:-1], sym[1:])
-        rank[ends - 1] = NONE
-        while len(who):
-            starts = np.cumsum(lens) - lens
-            best = np.minimum.reduceat(rank, starts)
-            over = best == NONE
-            if over.any():
-                costs = np.add.reduceat(self.cost[sym], starts)
-                out[who[over]] = costs[over]
-                stay = np.repeat(~over, lens)
-                sym, rank, made = sym[stay], rank[stay], made[stay]
-                who, lens, best = who[~over], lens[~over], best[~over]
-                if not len(who):
-                    break
-            seq = np.repeat(np.arange(len(who)), lens)
-            at = np.flatnonzero(rank == best[seq])
-            at = at[np.concatenate([[True], seq[at[1:]] != seq[at[:-1]]])]
-            sym[at] = made[at]
-            left = np.ones(len(sym), bool)
-            left[at + 1] = False
-            sym, rank, made, seq = sym[left], rank[left], made[left], seq[left]
-            lens = lens - 1
-            at = at - np.arange(len(at))
-            for p in (at[at > 0] - 1, at[at < len(sym) - 1]):
-                p = p[seq[p] == seq[p + 1]]
-                rank[p], made[p] = self.pair(sym[p], sym[p + 1])
-            last = np.cumsum(lens) - 1
-            rank[last] = NONE
+        for who, left, n in self.survivors(sym, lens):
+            out[who] = np.add.reduceat(self.cost[left], np.cumsum(n) - n)
         return out
 
     def merge_long(self, sym: np.ndarray) -> int:
