@@ -218,11 +218,14 @@ def near_duplicates(
             break
 
     members = scratch.keep(comp.join(reps, comp.node == reps.id).select("comp", "id", "cnt", "v"), "members")
-    size = members.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("chunks"))
+    size = scratch.keep(members.groupBy("comp").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(BLOCK)).alias("chunks")), "sizes")
+    # a member meets every chunk of its component: the rows to deal out are n * chunks
+    to_deal = size.agg(F.sum(F.col("n") * F.col("chunks"))).first()[0] or 0
+    size = size.select("comp", "chunks")
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks"))
     placed = members.join(size, "comp").withColumn("i", chunk).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     placed = placed.select("comp", "id", "cnt", "v", "i", F.least("i", "j").alias("bi"), F.greatest("i", "j").alias("bj"))
-    groups = 1 + members.count() // GROUP_ROWS
+    groups = 1 + to_deal // GROUP_ROWS
     placed = placed.withColumn("g", F.pmod(F.xxhash64("comp", "bi", "bj"), F.lit(groups * 4)))
 
     def enlarge(table: pa.Table) -> pa.Table:
