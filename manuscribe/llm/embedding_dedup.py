@@ -3,17 +3,22 @@
 Equal vectors form one class. Random-projection blocks start a neighbour graph
 of K entries a class. Each round joins neighbours of neighbours: around every
 centre, forward and reverse neighbours meet and keep their better partners.
-A hub's reverse neighbours meet in salted groups, none is left out. An audit
-compares a hashed sample of queries with brute force over all rows and asks for
-more rounds while links are missing. Links at the threshold give components.
-A list full of links is saturated: it, and the other lists of its component,
-are then enlarged to the whole component, block by block, so that link counts
+A hub's reverse neighbours meet in salted groups, none is left out. Lists bound
+only where the descent looks: whatever vectors a group of them shows to be
+connected by links is stored apart, as pairs with the smallest id that each
+reaches in the group, and components come from all such pairs. A list full of
+links is saturated: it is enlarged by K neighbours from outside its component,
+so the descent goes on across components until none grows. An audit compares a
+hashed sample of queries with brute force over all rows and asks for more
+rounds while links are missing; the links that it sees count too. At last every
+list is enlarged to its whole component, block by block, so that link counts
 are exact within components while only counts are kept.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -86,37 +91,53 @@ def _codes(kind, dim_seed: int, tables: int, depth: int) -> Callable:
     return run
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, floor: np.ndarray, k: int, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of one group's similarity matrix: each row's k best partners over its floor, and its linked partner of smallest id."""
-    n = len(ids)
+def _joined(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one group's symmetric links: each row's pair with the smallest id that its links reach in the group, without a similarity."""
+    has = np.flatnonzero(linked.any(axis=1))
+    has = has[np.argsort(ids[has], kind="stable")]
+    near = linked[np.ix_(has, has)]
+    label = np.arange(len(has))
+    while len(has):
+        new = np.minimum(label, np.where(near, label[None, :], len(has)).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    rest = np.flatnonzero(label != np.arange(len(has)))
+    return ids[has[rest]], ids[has[label[rest]]], np.full(len(rest), np.nan)
+
+
+def _best(ids: np.ndarray, sims: np.ndarray, k: int, threshold: float, floor: np.ndarray, outer: np.ndarray, comp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one group's similarity matrix: each row's k best partners over `floor`, its k best of other components over `outer`, and what links join."""
     np.fill_diagonal(sims, -2)
-    out = []
-    top = min(k, n - 1)
-    if top > 0:
+    out = [_joined(ids, sims >= threshold)]
+    top = min(k, len(ids) - 1)
+    same = comp[:, None] == comp[None, :]
+    apart = len(np.unique(comp)) == len(comp)
+    for least in (outer,) if apart else (floor, outer):
+        if least is outer and not apart:
+            sims = np.where(same, -2, sims)
         part = np.argpartition(-sims, top - 1, axis=1)[:, :top]
         s = np.take_along_axis(sims, part, axis=1)
-        r, c = np.nonzero(s > floor[:, None])
+        r, c = np.nonzero(s > least[:, None])
         out.append((ids[r], ids[part[r, c]], s[r, c]))
-        linked = sims >= threshold
-        has = np.flatnonzero(linked.any(axis=1))
-        if len(has):
-            first = np.where(linked[has], ids[None, :], np.iinfo(np.int64).max).argmin(axis=1)
-            out.append((ids[has], ids[first], sims[has, first]))
     return out
 
 
 def _edges(parts: list) -> pa.Table:
     u, v, s = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3))
-    return pa.table({"u": u.astype(np.int64), "v": v.astype(np.int64), "sim": s.astype(np.float64)})
+    return pa.table({"u": u.astype(np.int64), "v": v.astype(np.int64), "sim": pa.array(s.astype(np.float64), from_pandas=True)})
 
 
-def _top(edges: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Each class's k best neighbours, and its linked neighbour of smallest id."""
+def _top(edges: DataFrame, k: int, comp: DataFrame) -> DataFrame:
+    """Each class's k best neighbours (rank), and its k best outside its component (outer)."""
+    e = edges.filter("sim IS NOT NULL").groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    e = e.join(comp.select(F.col("node").alias("u"), F.col("comp").alias("cu")), "u", "left").join(comp.select(F.col("node").alias("v"), F.col("comp").alias("cv")), "v", "left")
+    e = e.withColumn("apart", F.coalesce(F.col("cu") != F.col("cv"), F.lit(True)))
     best = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    e = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    small = Window.partitionBy("u").orderBy(F.when(F.col("sim") >= threshold, F.col("v")).asc_nulls_last())
-    e = e.withColumn("rank", F.row_number().over(best)).withColumn("bridge", (F.row_number().over(small) == 1) & (F.col("sim") >= threshold))
-    return e.filter((F.col("rank") <= k) | F.col("bridge")).select("u", "v", "sim", "rank")
+    outer = Window.partitionBy("u", "apart").orderBy(F.desc("sim"), "v")
+    e = e.withColumn("outer", F.when(F.col("apart"), F.row_number().over(outer))).withColumn("rank", F.row_number().over(best))
+    return e.filter((F.col("rank") <= k) | (F.col("outer") <= k)).select("u", "v", "sim", "rank", "outer")
 
 
 def near_duplicates(
@@ -160,12 +181,16 @@ def near_duplicates(
         for _, g in _groups(table, "block"):
             ids, m = g["id"].to_numpy(), _unit(g["v"], kind)
             if len(ids) > 1:
-                parts += _best(ids, m @ m.T, np.full(len(ids), -2.0), k, threshold)
+                low = np.full(len(ids), -2.0)
+                parts += _best(ids, m @ m.T, k, threshold, low, low, ids)
         return _edges(parts)
 
     groups = 1 + n * tables // GROUP_ROWS
-    graph = dealt.withColumn("g", F.pmod("block", F.lit(groups))).groupBy("g").applyInArrow(start, EDGES)
-    knn = scratch.keep(_top(graph, k, threshold), "graph")
+    found = scratch.keep(dealt.withColumn("g", F.pmod("block", F.lit(groups))).groupBy("g").applyInArrow(start, EDGES), "start")
+    joined = found.filter("sim IS NULL").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    comp = components(scratch, joined)
+    knn = scratch.keep(_top(found, k, comp), "graph")
+    extent = comp.agg(F.count("*").alias("nodes"), F.count_distinct("comp").alias("comps")).first()
 
     def descend(table: pa.Table) -> pa.Table:
         parts = []
@@ -173,7 +198,7 @@ def near_duplicates(
             ids, at = np.unique(g["member"].to_numpy(), return_index=True)
             if len(ids) > 1:
                 m = _unit(g["v"].take(pa.array(at)), kind)
-                parts += _best(ids, m @ m.T, g["floor"].to_numpy()[at], k, threshold)
+                parts += _best(ids, m @ m.T, k, threshold, g["floor"].to_numpy()[at], g["out"].to_numpy()[at], g["comp"].to_numpy()[at])
         return _edges(parts)
 
     audit = reps.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(audit_rows).select("id", "v").toArrow()
@@ -195,27 +220,35 @@ def near_duplicates(
             yield from _edges(parts).to_batches()
 
     true = scratch.keep(reps.select("id", "v").mapInArrow(truth, EDGES).select("u", "v"), "audit")
-    for step in range(most_rounds):
-        floor = knn.groupBy("u").agg(F.min(F.when(F.col("rank") == k, F.col("sim"))).alias("floor"))
-        known = reps.select("id", "v").join(floor.withColumnRenamed("u", "id"), "id", "left").select(F.col("id").alias("member"), F.col("v"), F.coalesce("floor", F.lit(-2.0)).alias("floor"))
+    for step in itertools.count():
+        floor = knn.groupBy("u").agg(F.min(F.when(F.col("rank") == k, F.col("sim"))).alias("floor"), F.min(F.when(F.col("outer") == k, F.col("sim"))).alias("out")).withColumnRenamed("u", "id")
+        known = reps.select("id", "v").join(floor, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
+        known = known.select(F.col("id").alias("member"), "v", F.coalesce("floor", F.lit(-2.0)).alias("floor"), F.coalesce("out", F.lit(-2.0)).alias("out"), F.coalesce("comp", "id").alias("comp"))
         back = knn.groupBy("v").agg(F.ceil(F.count("*") / F.lit(4.0 * k)).alias("salts")).withColumnRenamed("v", "center")
         near = knn.select(F.col("u").alias("center"), F.col("v").alias("member"))
         far = knn.select(F.col("v").alias("center"), F.col("u").alias("member"))
         split = near.join(back, "center", "left").select("center", "member", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
         met = split.unionByName(far.join(back, "center").select("center", "member", F.pmod(F.xxhash64("member"), F.col("salts")).alias("salt"))).distinct()
         groups = 1 + n * 2 * k // GROUP_ROWS
-        joined = met.join(known, "member").withColumn("g", F.pmod(F.xxhash64("center", "salt"), F.lit(groups)))
-        found = joined.groupBy("g").applyInArrow(descend, EDGES)
-        new = scratch.keep(_top(knn.select("u", "v", "sim").unionByName(found), k, threshold), f"graph-{step}")
+        dealt = met.join(known, "member").withColumn("g", F.pmod(F.xxhash64("center", "salt"), F.lit(groups)))
+        found = scratch.keep(dealt.groupBy("g").applyInArrow(descend, EDGES), f"found-{step}")
+        joined = found.filter("sim IS NULL").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+        comp = components(scratch, comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(joined))
+        new = scratch.keep(_top(knn.select("u", "v", "sim").unionByName(found), k, comp), f"graph-{step}")
         scratch.drop(knn)
+        scratch.drop(found)
         knn = new
-        links = scratch.keep(knn.filter(F.col("sim") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
-        comp = components(scratch, links)
         side = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
         other = comp.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
-        seen = true.join(side, "u", "left").join(other, "v", "left").agg(F.count("*").alias("n"), F.count_if(F.col("cu") == F.col("cv")).alias("hit")).first()
-        if seen["hit"] >= recall * seen["n"]:
+        audited = true.join(side, "u", "left").join(other, "v", "left").withColumn("hit", F.coalesce(F.col("cu") == F.col("cv"), F.lit(False)))
+        seen = audited.agg(F.count("*").alias("n"), F.count_if("hit").alias("hit")).first()
+        before, extent = extent, comp.agg(F.count("*").alias("nodes"), F.count_distinct("comp").alias("comps")).first()
+        passed = seen["hit"] >= recall * seen["n"]
+        if (passed and extent == before) or (not passed and step + 1 >= most_rounds):
             break
+    if seen["hit"] < seen["n"]:
+        missed = audited.filter("NOT hit").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        comp = components(scratch, comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(missed))
 
     members = scratch.keep(comp.join(reps, comp.node == reps.id).select("comp", "id", "cnt", "v"), "members")
     size = scratch.keep(members.groupBy("comp").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(BLOCK)).alias("chunks")), "sizes")

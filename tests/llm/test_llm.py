@@ -109,6 +109,42 @@ def test_embeddings(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903, 904, None))
 
 
+def _unit_rows(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def _brute(u, threshold=0.9):
+    hit = u @ u.T >= threshold
+    comp = np.arange(len(u))
+    while True:
+        new = np.array([comp[h].min() for h in hit])
+        if (new == comp).all():
+            return hit.sum(axis=1) - 1, comp
+        comp = new
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_embedding_groups_joined_by_one_link(spark, monkeypatch, block):
+    """Two groups of 60 whose only link is between vectors that link with smaller ids, and closer ones, of their own groups."""
+    r = np.random.default_rng(5)
+    a = _unit_rows(r.standard_normal(64))
+    c = r.standard_normal(64)
+    b = 0.8 * a + 0.6 * _unit_rows(c - (c @ a) * a)
+    x = np.concatenate([_unit_rows(m + 0.1 * _unit_rows(r.standard_normal((60, 64)))) for m in (a, b)])
+    x[30], x[90] = _unit_rows(a + 0.25 * (b - a)), _unit_rows(b + 0.25 * (a - b))
+    order = r.permutation(120)
+    while min(np.flatnonzero(order < 60)) == np.flatnonzero(order == 30)[0] or min(np.flatnonzero(order >= 60)) == np.flatnonzero(order == 90)[0]:
+        order = r.permutation(120)
+    u = x[order]
+    links, comp = _brute(u)
+    side = order < 60
+    assert ((u[side] @ u[~side].T) >= 0.9).sum() == 1 and set(comp) == {0}
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>")
+    got = {q["vec_id"]: q for q in embedding_dedup.near_duplicates(d, audit_rows=1).collect()}
+    assert all((got[i]["n_links"], got[i]["component_id"]) == (links[i], 0) for i in range(120))
+
+
 def test_chat(spark):
     a = [("user", "hi"), ("bot", "yo"), ("user", "x"), ("bot", None)]
     convs = {1: a[:2], 2: a, 3: a, 4: a[:1] + [("bot", "other")], 5: [("user", "x")], 6: a[:3]}
