@@ -9,8 +9,10 @@ connected by links is stored apart, as pairs with the smallest id that each
 reaches in the group, and components come from all such pairs. A list full of
 links is saturated: it is enlarged by K neighbours from outside its component,
 so the descent goes on across components until none grows. An audit compares a
-hashed sample of queries with brute force over all rows and asks for more
-rounds while links are missing; the links that it sees count too. At last every
+hashed sample of queries with brute force over all rows, by links and by
+vectors with all their links. While it fails, K doubles and new projections are
+added; if it still fails after `most_rounds`, all vectors are compared with
+all, block by block. The links that the audit sees count too. At last every
 list is enlarged to its whole component, block by block, so that link counts
 are exact within components while only counts are kept.
 """
@@ -33,6 +35,8 @@ from .common import Scratch, components
 EDGES = "u long, v long, sim double"
 #: Rows handed to Python in one group, about; vectors of a block.
 GROUP_ROWS, BLOCK = 20_000, 512
+#: Vectors of a block where all are compared with all.
+ALL_ROWS = 2048
 
 
 def _clean(double: bool) -> Callable:
@@ -171,11 +175,6 @@ def near_duplicates(
     n = reps.count()
 
     depth = max(0, math.ceil(math.log2(max(1, n / (BLOCK // 2)))))
-    coded = scratch.keep(reps.select("id", "v").mapInArrow(_codes(kind, 11, tables, depth), "id long, codes array<long>").select("id", F.posexplode("codes").alias("t", "code")), "codes")
-    sizes = coded.groupBy("t", "code").agg(F.count("*").alias("c"))
-    salt = F.pmod(F.xxhash64("id", "t"), F.ceil(F.col("c") / BLOCK))
-    dealt = coded.join(sizes, ["t", "code"]).select("id", F.xxhash64("t", "code", salt).alias("block")).join(reps.select("id", "v"), "id")
-
     def start(table: pa.Table) -> pa.Table:
         parts = []
         for _, g in _groups(table, "block"):
@@ -185,8 +184,43 @@ def near_duplicates(
                 parts += _best(ids, m @ m.T, k, threshold, low, low, ids)
         return _edges(parts)
 
-    groups = 1 + n * tables // GROUP_ROWS
-    found = scratch.keep(dealt.withColumn("g", F.pmod("block", F.lit(groups))).groupBy("g").applyInArrow(start, EDGES), "start")
+    def project(seed: int) -> DataFrame:
+        """What blocks of `tables` random projections show."""
+        coded = scratch.keep(reps.select("id", "v").mapInArrow(_codes(kind, seed, tables, depth), "id long, codes array<long>").select("id", F.posexplode("codes").alias("t", "code")), "codes")
+        sizes = coded.groupBy("t", "code").agg(F.count("*").alias("c"))
+        salt = F.pmod(F.xxhash64("id", "t", F.lit(seed)), F.ceil(F.col("c") / BLOCK))
+        dealt = coded.join(sizes, ["t", "code"]).select("id", F.xxhash64("t", "code", salt).alias("block")).join(reps.select("id", "v"), "id")
+        groups = 1 + n * tables // GROUP_ROWS
+        return scratch.keep(dealt.withColumn("g", F.pmod("block", F.lit(groups))).groupBy("g").applyInArrow(start, EDGES), "start")
+
+    def compare_all() -> DataFrame:
+        """(a, b): what the links of all vectors connect, each compared with each, block by block."""
+        chunks = math.ceil(n / ALL_ROWS)
+        other = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+        dealt = reps.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("i")).withColumn("j", other)
+        dealt = dealt.select("id", "v", "i", F.least("i", "j").alias("bi"), F.greatest("i", "j").alias("bj"))
+
+        def compare(table: pa.Table) -> pa.Table:
+            parts = []
+            size = np.array([len(x) for x in table["v"].to_pylist()])
+            for one in np.unique(size):
+                rows = np.flatnonzero(size == one)
+                g = table.take(pa.array(rows))
+                i, d, m = g["i"].to_numpy(), g["id"].to_numpy(), _unit(g["v"], kind)
+                a, b = np.flatnonzero(i == g["bi"][0].as_py()), np.flatnonzero(i == g["bj"][0].as_py())
+                hit = (m[a] @ m[b].T) >= threshold
+                hit &= d[a][:, None] != d[b][None, :]
+                x, y = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+                ids = np.unique(np.concatenate([d[a][x], d[b][y]]))
+                linked = np.zeros((len(ids), len(ids)), bool)
+                p, q = np.searchsorted(ids, d[a][x]), np.searchsorted(ids, d[b][y])
+                linked[np.ix_(p, q)] |= hit[np.ix_(x, y)]
+                parts.append(_joined(ids, linked | linked.T))
+            return _edges(parts)
+
+        return dealt.groupBy("bi", "bj").applyInArrow(compare, EDGES).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+
+    found = project(11)
     joined = found.filter("sim IS NULL").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
     comp = components(scratch, joined)
     knn = scratch.keep(_top(found, k, comp), "graph")
@@ -241,12 +275,26 @@ def near_duplicates(
         side = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
         other = comp.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
         audited = true.join(side, "u", "left").join(other, "v", "left").withColumn("hit", F.coalesce(F.col("cu") == F.col("cv"), F.lit(False)))
-        seen = audited.agg(F.count("*").alias("n"), F.count_if("hit").alias("hit")).first()
+        seen = audited.groupBy("u").agg(F.count("*").alias("n"), F.count_if("hit").alias("hit"))
+        seen = seen.agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"), F.count("*").alias("vectors"), F.count_if(F.col("n") == F.col("hit")).alias("whole")).na.fill(0).first()
         before, extent = extent, comp.agg(F.count("*").alias("nodes"), F.count_distinct("comp").alias("comps")).first()
-        passed = seen["hit"] >= recall * seen["n"]
-        if (passed and extent == before) or (not passed and step + 1 >= most_rounds):
+        passed = seen["hit"] >= recall * seen["n"] and seen["whole"] >= recall * seen["vectors"]
+        if passed and extent == before:
+            break
+        if not passed and step + 1 >= most_rounds:
+            comp = components(scratch, comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(compare_all()))
             break
-    if seen["hit"] < seen["n"]:
+        if not passed:
+            k *= 2
+            found = project(12 + step)
+            joined = found.filter("sim IS NULL").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+            comp = components(scratch, comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(joined))
+            new = scratch.keep(_top(knn.select("u", "v", "sim").unionByName(found), k, comp), f"graph-{step}-more")
+            scratch.drop(knn)
+            scratch.drop(found)
+            knn = new
+            extent = comp.agg(F.count("*").alias("nodes"), F.count_distinct("comp").alias("comps")).first()
+    if passed and seen["hit"] < seen["n"]:
         missed = audited.filter("NOT hit").select(F.col("u").alias("a"), F.col("v").alias("b"))
         comp = components(scratch, comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(missed))
 

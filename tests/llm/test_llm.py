@@ -145,6 +145,22 @@ def test_embedding_groups_joined_by_one_link(spark, monkeypatch, block):
     assert all((got[i]["n_links"], got[i]["component_id"]) == (links[i], 0) for i in range(120))
 
 
+def test_embedding_pairs_are_compared_when_the_audit_fails(spark, monkeypatch):
+    """Isolated pairs that too few projections bring together."""
+    r = np.random.default_rng(6)
+    x = _unit_rows(r.standard_normal((200, 64)))
+    y = _unit_rows(r.standard_normal((200, 64)))
+    y = _unit_rows(y - (y * x).sum(axis=1, keepdims=True) * x)
+    u = np.concatenate([x, 0.91 * x + np.sqrt(1 - 0.91**2) * y])
+    links, comp = _brute(u)
+    assert set(links) == {1}
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 4)
+    monkeypatch.setattr(embedding_dedup, "ALL_ROWS", 150, raising=False)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>")
+    got = {q["vec_id"]: q for q in embedding_dedup.near_duplicates(d, k=2, tables=1, most_rounds=1, audit_rows=100).collect()}
+    assert all((got[i]["n_links"], got[i]["component_id"]) == (1, comp[i]) for i in range(400))
+
+
 def test_chat(spark):
     a = [("user", "hi"), ("bot", "yo"), ("user", "x"), ("bot", None)]
     convs = {1: a[:2], 2: a, 3: a, 4: a[:1] + [("bot", "other")], 5: [("user", "x")], 6: a[:3]}
