@@ -1,11 +1,13 @@
 """Cross-entropy difference under matched target and background n-gram models.
 
-Tokens are the hashes of words with A-Z folded. Both models count unigrams and
-bigrams of whole texts into tables of the same size under the same hash, so they
-share one vocabulary, and mix bigram, unigram and uniform estimates with the
-same weights. The target model counts target documents, the background model
-every document. A document's score is its mean per-token loss under the target
-model less that under the background model: lower is closer to the target.
+Tokens are the 64-bit hashes of words with A-Z folded. Both models count the
+same unigrams and bigrams of whole texts, so they share one vocabulary, and mix
+bigram, unigram and uniform estimates with the same weights. The target model
+counts target documents, the background model every document. The counts are
+stored tables with a row for every different n-gram, so they grow with the
+corpus; a document's n-grams are joined to them. A document's score is its mean
+per-token loss under the target model less that under the background model:
+lower is closer to the target.
 """
 
 from __future__ import annotations
@@ -14,53 +16,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast
+from .common import Scratch, checked_broadcast
 from .textarrays import FOLDED, chunks, mix, words
 
-UNIGRAMS, BIGRAMS = 1 << 17, 1 << 19
 #: Weights of bigram, unigram and uniform estimates.
 MIXTURE = (0.6, 0.3, 0.1)
 
 
-def _tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per chunk: row bounds, unigram slot, bigram slot and whether a word has one before it in its row."""
-    for _, _, data, offs in chunks(column):
+def _grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per chunk: first row, row bounds, and each token's word, the word before it, their gram, and whether none is before it in its row."""
+    for lo, _, data, offs in chunks(column):
         h, bounds = words(data, offs, FOLDED)
-        two = np.ones(len(h), bool)
-        two[bounds[:-1][bounds[:-1] < len(h)]] = False
-        b = np.zeros(len(h), np.int64)
-        b[1:] = (mix(h[:-1] * np.uint64(5) + h[1:]) % np.uint64(BIGRAMS)).astype(np.int64)
-        yield bounds, (h % np.uint64(UNIGRAMS)).astype(np.int64), b, two
+        first = np.zeros(len(h), bool)
+        first[bounds[:-1][np.diff(bounds) > 0]] = True
+        prev = np.zeros_like(h)
+        prev[1:] = h[:-1]
+        prev[first] = 0
+        gram = mix(np.where(first, ~h, prev * np.uint64(5) + h))
+        yield lo, bounds, h, prev, gram, first
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slot, target count, background count): unigrams, then bigrams."""
-    n = np.zeros((2, UNIGRAMS + BIGRAMS), np.int64)
+    """(gram, word, prev, t, b): target and background counts of each chunk's different grams; prev is null where none is before."""
     for batch in batches:
         target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        row = 0
-        for bounds, u, b, two in _tokens(batch.column(0)):
-            size = np.diff(bounds)
-            t = np.repeat(target[row : row + len(size)], size)
-            row += len(size)
-            for k, m in ((0, t), (1, slice(None))):
-                n[k, :UNIGRAMS] += np.bincount(u[m], minlength=UNIGRAMS)
-                n[k, UNIGRAMS:] += np.bincount(b[m][two[m]], minlength=BIGRAMS)
-    at = np.flatnonzero(n[1])
-    for lo in range(0, len(at), 100_000):
-        p = at[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(n[0, p]), pa.array(n[1, p])], ["slot", "target", "background"])
-
-
-def _losses(u: np.ndarray, b: np.ndarray, two: np.ndarray, prev: np.ndarray, counts: np.ndarray, total: float) -> np.ndarray:
+        for lo, bounds, h, prev, gram, first in _grams(batch.column(0)):
+            t = np.repeat(target[lo : lo + len(bounds) - 1], np.diff(bounds))
+            one, at, of = np.unique(gram, return_index=True, return_inverse=True)
+            cols = [one.view(np.int64), h[at].view(np.int64), pa.array(prev[at].view(np.int64), mask=first[at]), np.bincount(of[t], minlength=len(one)), np.bincount(of, minlength=len(one))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "word", "prev", "t", "b"])
+
+
+def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, id, gram, n): each row's different grams; a row without words has a null gram, 0 times."""
+    for batch in batches:
+        for lo, bounds, _, _, gram, _ in _grams(batch.column(2)):
+            row = np.repeat(np.arange(lo, lo + len(bounds) - 1), np.diff(bounds))
+            order = np.lexsort((gram, row))
+            g, r = gram[order], row[order]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
+            begin = np.flatnonzero(new)
+            empty = lo + np.flatnonzero(np.diff(bounds) == 0)
+            rows = np.concatenate([r[begin], empty])
+            n = np.concatenate([np.diff(np.append(begin, len(g))), np.zeros(len(empty), np.int64)])
+            grams = pa.array(np.concatenate([g[begin].view(np.int64), np.zeros(len(empty), np.int64)]), mask=n == 0)
+            out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), grams, pa.array(n)], ["row", "id", "gram", "n"])
+            for at in range(0, len(out), 100_000):
+                yield out.slice(at, 100_000)
+
+
+def _loss(two: str, word: str, prev: str, total: float, size: int) -> Column:
     l2, l1, l0 = MIXTURE
-    uni = counts[u] / max(total, 1.0)
-    before = counts[prev]
-    bi = np.where(two & (before > 0), counts[UNIGRAMS + b] / np.maximum(before, 1), uni)
-    return -np.log(l2 * np.minimum(bi, 1) + l1 * uni + l0 / UNIGRAMS)
+    uni = F.col(word) / F.lit(max(total, 1.0))
+    bi = F.when(F.col(prev) > 0, F.col(two) / F.col(prev)).otherwise(uni)
+    return -F.log(bi * l2 + uni * l1 + F.lit(l0 / max(size, 1)))
+
+
+def gram_counts(marked: DataFrame) -> DataFrame:
+    """(gram, word, prev, t, b) of marked (text, target): every different bigram, and every first word of a text with a null prev."""
+    got = marked.select("text", "target").mapInArrow(_counts, "gram long, word long, prev long, t long, b long")
+    return got.groupBy("gram").agg(F.max("word").alias("word"), F.max("prev").alias("prev"), F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
 def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,35 +87,23 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
 
     `target_ids` has id_col of the target documents; ids without a document and
     nulls are ignored, repeats count once. Null and empty texts have 0 tokens
-    and null losses; null ids are scored. The tables have a fixed number of
-    slots, which n-grams beyond it share in both models alike.
+    and null losses; null ids are scored. The uniform estimate is over the
+    corpus's different words. Rows come in the order of `docs`.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "lm")
     ids = target_ids.select(F.col(id_col).cast("long").alias("target_id")).filter("target_id IS NOT NULL").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     marked = rows.join(checked_broadcast(ids), F.col("id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("target"))
-    got = marked.mapInArrow(_counts, "slot int, target long, background long").groupBy("slot").agg(F.sum("target").alias("t"), F.sum("background").alias("b")).toArrow()
-    n = np.zeros((2, UNIGRAMS + BIGRAMS), np.float32)
-    at = got["slot"].to_numpy()
-    n[0, at], n[1, at] = got["t"].to_numpy(), got["b"].to_numpy()
-    models = spark.sparkContext.broadcast((n, n[:, :UNIGRAMS].sum(axis=1, dtype=np.float64)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, totals = models.value
-        for batch in batches:
-            sums, sizes = [np.zeros((2, 0))], [np.zeros(0, np.int64)]
-            for bounds, u, b, two in _tokens(batch.column(1)):
-                prev = np.zeros_like(u)
-                prev[1:] = u[:-1]
-                run = np.zeros((2, len(u) + 1))
-                for k in (0, 1):
-                    np.cumsum(_losses(u, b, two, prev, n[k], totals[k]), out=run[k, 1:])
-                sums.append(run[:, bounds[1:]] - run[:, bounds[:-1]])
-                sizes.append(np.diff(bounds))
-            size, loss = np.concatenate(sizes), np.concatenate(sums, axis=1)
-            none = size == 0
-            ce = loss / np.maximum(size, 1)
-            cols = [pa.array(x, mask=none) for x in (ce[0], ce[1], ce[0] - ce[1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *cols], ["id", "n_tokens", "ce_target", "ce_background", "score"])
-
-    return rows.mapInArrow(run, "id long, n_tokens long, ce_target double, ce_background double, score double").withColumnRenamed("id", id_col)
+    two = scratch.keep(gram_counts(marked), "bigrams")
+    one = scratch.keep(two.groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "unigrams")
+    total = one.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count("*").alias("n")).na.fill(0).first()
+    own = checked_broadcast(one.select("word", F.col("t").alias("word_t"), F.col("b").alias("word_b")))
+    before = checked_broadcast(one.select(F.col("word").alias("prev"), F.col("t").alias("prev_t"), F.col("b").alias("prev_b")))
+    known = two.join(own, "word").join(before, "prev", "left")
+    losses = known.select("gram", *[_loss(k, f"word_{k}", f"prev_{k}", float(total[k]), total["n"]).alias(f"loss_{k}") for k in ("t", "b")])
+    grams = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(_by_row, "row long, id long, gram long, n long")
+    sums = grams.join(losses, "gram", "left").groupBy("row").agg(F.max("id").alias("id"), F.sum("n").alias("n_tokens"), *[F.sum(F.col("n") * F.col(f"loss_{k}")).alias(k) for k in ("t", "b")])
+    sums = scratch.keep(sums, "sums").orderBy("row")
+    t, b = (F.when(F.col("n_tokens") > 0, F.col(k) / F.col("n_tokens")) for k in ("t", "b"))
+    return sums.select(F.col("id").alias(id_col), "n_tokens", t.alias("ce_target"), b.alias("ce_background"), (t - b).alias("score"))

@@ -203,6 +203,41 @@ def test_lm_prefers_its_target(spark):
     assert got.loc[99].n_tokens == 0 and np.isnan(got.loc[99].score)
 
 
+def test_lm_counts_every_ngram_apart(spark):
+    """Against counts by words, over more different words and bigrams than any fixed table has slots."""
+    many = " ".join(f"v{i}" for i in range(700_000))
+    texts = {1: "a b a b c", 2: "A b d", 3: many, 4: "b", 5: "", 6: None, 7: "a b"}
+    rows = [*texts.items(), (7, "a b"), (None, "c a")]
+    target = {1, 7}
+    one, two = [{}, {}], [{}, {}]
+    for i, text in rows:
+        w = (text or "").lower().split()
+        for k in (0, 1) if i in target else (1,):
+            for a, b in zip([None, *w], w, strict=False):
+                one[k][b] = one[k].get(b, 0) + 1
+                if a is not None:
+                    two[k][a, b] = two[k].get((a, b), 0) + 1
+
+    def loss(k, text):
+        w, total, out = text.lower().split(), sum(one[k].values()), 0.0
+        for a, b in zip([None, *w], w, strict=False):
+            uni = one[k].get(b, 0) / total
+            bi = two[k].get((a, b), 0) / one[k][a] if a is not None and one[k].get(a) else uni
+            out -= np.log(0.6 * bi + 0.3 * uni + 0.1 / len(one[1]))
+        return out / len(w)
+
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_score.score(d, spark.createDataFrame([(1,), (7,), (None,)], "doc_id long")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = "c a" if r["doc_id"] is None else texts[r["doc_id"]] or ""
+        assert r["n_tokens"] == len(text.split())
+        if text:
+            assert (r["ce_target"], r["ce_background"]) == pytest.approx((loss(0, text), loss(1, text)), abs=1e-9), r
+        else:
+            assert r["score"] is None
+
+
 def test_decontamination(spark, docs):
     item = prose(30)
     held = [(1, f"{prose(50)} {item} {prose(9)}"), (2, item.upper().replace(" ", ", ")), (3, prose(60)), (4, " ".join(item.split()[:20])), (5, "tiny one here"), (6, None), (None, item), (1, f"{item}")]
