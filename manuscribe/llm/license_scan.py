@@ -6,8 +6,10 @@ template are taken; no other can hold one. A window and a template have one
 minimum for each of `bands` hash functions; with one row a band, a template
 that is contained to the threshold shares a minimum with chance
 1 - (1 - j)**bands, where j >= threshold / (threshold + 2) is the least
-similarity of window and template. For 40 bands and 0.8 that is over 0.999999.
-Candidates are verified by the exact share of the template's shingles that the
+similarity of window and template. For 40 bands and 0.8 that is over 0.999999
+where it holds. A window of a short template has more shingles beside than j
+allows for: where the real counts miss with a chance over `MISS`, a window is
+a candidate by one shared shingle, without bands. Candidates are verified by the exact share of the template's shingles that the
 window holds.
 """
 
@@ -19,6 +21,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, checked_broadcast
 from .grams import gram_rows, plain_words
 
+#: The largest chance to miss a window that holds a template to the threshold.
+MISS = 1e-6
+
 #: Wordings by which public licenses are granted or named.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -79,8 +84,14 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
 
         mine = minima(inside, "id", "len", "s")
         theirs = minima(grams, "template_id", "len")
-        cand = scratch.keep(mine.join(checked_broadcast(theirs), ["len", "band", "low"]).select("id", "len", "s", "template_id").distinct(), "candidates")
-        size = grams.groupBy("template_id").agg(F.count("*").alias("size"))
+        cand = mine.join(checked_broadcast(theirs), ["len", "band", "low"]).select("id", "len", "s", "template_id")
+        size = grams.groupBy("template_id", "len").agg(F.count("*").alias("size"))
+        need = F.ceil(F.col("size") * containment - 1e-9)
+        least = need / (F.col("size") + F.col("len") * 2 - n + 1 - need)
+        unsure = size.filter(F.pow(1 - least, F.lit(bands)) > MISS).select("template_id")
+        direct = inside.join(checked_broadcast(grams.join(unsure, "template_id", "left_semi")), ["len", "gram"]).select("id", "len", "s", "template_id")
+        cand = scratch.keep(cand.unionByName(direct).distinct(), "candidates")
+        size = size.drop("len")
         both = inside.join(cand, ["id", "len", "s"]).join(checked_broadcast(grams), ["template_id", "len", "gram"])
         share = both.groupBy("id", "template_id", "s").agg(F.count("*").alias("held"), F.min("pos").alias("first")).join(checked_broadcast(size), "template_id")
         share = share.withColumn("containment", F.col("held") / F.col("size")).filter(F.col("containment") >= containment - 1e-9)

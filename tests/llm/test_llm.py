@@ -253,3 +253,13 @@ def test_licenses(spark):
     rows = [(1, f"{prose(31)} {license_scan.TEMPLATES[2][1]} {prose(8)}"), (2, prose(40)), (3, None), (4, license_scan.TEMPLATES[10][1].upper()), (None, license_scan.TEMPLATES[2][1])]
     got = {(r["doc_id"], r["license"], r["start_word"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), t).collect()}
     assert got == {(1, "MIT", 31), (4, "MPL-2.0", 0)}
+
+
+def test_short_licenses_are_never_missed(spark):
+    """Verbatim notices of 4 to 9 words among many different words, none at a window's start."""
+    own = random.Random(8)
+    notes = [(i, t) for i, (_, t) in enumerate(license_scan.TEMPLATES) if len(re.findall(r"\w+", t)) <= 9]
+    rows = [(k * 8000 + d, f"a{own.random()} {t} " + " ".join(f"b{own.randrange(1 << 40)}" for _ in range(14))) for k, (_, t) in enumerate(notes) for d in range(8000)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.templates(spark)).select("doc_id", "template_id").collect()
+    found = {(r["doc_id"], r["template_id"]) for r in got}
+    assert not [d for d, _ in rows if (d, notes[d // 8000][0]) not in found]
