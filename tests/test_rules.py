@@ -85,6 +85,12 @@ def test_near_phrases_against_all_pairs(spark):
     assert got == want and got
 
 
+def test_near_phrases_with_wide_inner_spacing(spark):
+    wide = "Chapter One" + " " * 16 + "Two" + " " * 17 + "Three"
+    got = phrases.near_repeats(phrases.phrase_lines(docs(spark, "Chapter One Two Three", f"x\n{wide}"))).collect()
+    assert [(r["phrase_a"], r["phrase_b"], r["score"]) for r in got] == [("Chapter One Two Three", wide, 100.0)]
+
+
 def test_lr_swap(spark):
     lex = lexical.table(spark, [("secretary",), ("salon",)], ("word",))
     got = lexical.lr_swaps(docs(spark, "a secletary and secretary", "secretary"), lex).collect()
