@@ -1,12 +1,14 @@
 """Packing of whole documents into token windows by lexical retrieval.
 
-Documents are dealt into shards by a hash of the row. Each shard builds a BM25
-inverted index over its documents, with document frequencies of the whole
-corpus. A seed document opens a window; the unused documents that its most
-telling terms retrieve fill it, best first. The document that overflows is cut
-there, its rest opens the next window and it is the next seed. A shard's last,
-partly filled window is cut into windows of powers of two, which need no
-padding, so nothing is padded.
+Documents are put in the order of a few minima of their word hashes, so that
+documents with many common words stand together, whatever the size of the
+corpus; a range of that order is a task, and what stands together in it up to a
+bounded amount of text is a shard. Each shard builds a BM25 inverted index over
+all terms of its documents, with the shard's own document frequencies. A seed document
+opens a window; the unused documents that its terms retrieve fill it, best
+first. The document that overflows is cut there, its rest opens the next window
+and it is the next seed. A shard's last, partly filled window is cut into
+windows of powers of two, which need no padding, so nothing is padded.
 """
 
 from __future__ import annotations
@@ -20,17 +22,23 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .bpe import Pairs, ranges
-from .textarrays import FOLDED, chunks, hashes, running, spans, words
+from .common import Scratch
+from .textarrays import FOLDED, chunks, hashes, mix, running, spans, words
 
-#: Terms are word hashes modulo this; it bounds the frequency table at 2 MB.
-TERMS = 1 << 18
 K1, B = 1.2, 0.75
 #: A worker remembers the ids of so many words, then starts over.
-MEMO = 300_000
+MEMO = 600_000
+#: Words of a task, about.
+TASK_WORDS = 1_000_000
+#: Minima of word hashes that order the documents, 5 bytes each.
+MINIMA = 4
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -125,50 +133,62 @@ class WordTokenizer:
         self.at: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.bounds = np.zeros(MEMO + 2, np.int64)
+        self.term = np.zeros(MEMO + 1, np.uint64)
 
-    def _store(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _store(self, keys: list[int], terms: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         n, known = len(ids), len(self.at)
-        lo = int(self.bounds[known])
+        lo, end = int(self.bounds[known]), known + len(keys)
         if lo + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), np.int32)])
         self.flat[lo : lo + n] = ids
-        self.at.update(zip(keys, range(known, known + len(keys)), strict=True))
-        if known + len(keys) >= len(self.bounds):
+        self.at.update(zip(keys, range(known, end), strict=True))
+        if end >= len(self.bounds):
             self.bounds = np.concatenate([self.bounds, np.zeros(len(keys), np.int64)])
-        self.bounds[known + 1 : known + len(keys) + 1] = lo + np.cumsum(sizes)
+            self.term = np.concatenate([self.term, np.zeros(len(keys), np.uint64)])
+        self.bounds[known + 1 : end + 1] = lo + np.cumsum(sizes)
+        self.term[known:end] = terms
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        size = ends - starts
+        own = data[ranges(starts, size)]
+        stop = np.cumsum(size)
+        terms = hashes(running(own, FOLDED), stop - size, stop)
         other = np.ones(len(keys), bool)
         if self.pairs is not None:
             plain, ids, sizes = self._merge_plain(data, starts, ends)
-            self._store(keys[plain].tolist(), ids, sizes)
+            self._store(keys[plain].tolist(), terms[plain], ids, sizes)
             other = ~plain
         if other.any():
             raw = data.tobytes()
             texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(starts[other].tolist(), ends[other].tolist(), strict=True)]
             got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self._store(keys[other].tolist(), np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())), sizes)
+            self._store(keys[other].tolist(), terms[other], np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())), sizes)
 
-    def encode(self, column: pa.Array, end: int | None = None) -> Iterator[np.ndarray]:
-        """The ids of each text in order, with `end` after them."""
+    def read(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, hashes of the case-folded words) of each text in order, from one split of it."""
         for _, _, data, offs in chunks(column):
             starts, ends, bounds = spans(data, offs)
             uniq, first, inv = np.unique(hashes(running(data), starts, ends), return_index=True, return_inverse=True)
             if len(self.at) + len(uniq) > MEMO:
                 self.clear()
             keys = uniq.tolist()
-            miss = np.array([i for i, k in enumerate(keys) if k not in self.at], np.int64)
+            slot = np.fromiter((self.at.get(k, -1) for k in keys), np.int64, len(keys))
+            miss = np.flatnonzero(slot < 0)
             if len(miss):
                 self._learn(uniq[miss], data, starts[first[miss]], ends[first[miss]])
-            slot = np.array([self.at[k] for k in keys], np.int64)
+                slot[miss] = [self.at[keys[i]] for i in miss.tolist()]
             at = self.bounds[slot]
             size = (self.bounds[slot + 1] - at)[inv]
             total = np.concatenate([[0], np.cumsum(size)])
-            ids = self.flat[ranges(at[inv], size)]
+            ids, terms = self.flat[ranges(at[inv], size)], self.term[slot][inv]
             for r in range(len(bounds) - 1):
-                own = ids[total[bounds[r]] : total[bounds[r + 1]]]
-                yield own if end is None else np.append(own, np.int32(end))
+                yield ids[total[bounds[r]] : total[bounds[r + 1]]], terms[bounds[r] : bounds[r + 1]]
+
+    def encode(self, column: pa.Array, end: int | None = None) -> Iterator[np.ndarray]:
+        """The ids of each text in order, with `end` after them."""
+        for ids, _ in self.read(column):
+            yield ids if end is None else np.append(ids, np.int32(end))
 
 
 @lru_cache(maxsize=2)
@@ -182,62 +202,61 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _term_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(terms, their counts, words) of each text."""
+@F.arrow_udf(StructType([StructField("key", BinaryType()), StructField("words", LongType())]))
+def _place(column: pa.Array) -> pa.Array:
+    """Where a text stands in the order of shards, and its words."""
+    keys, sizes = [], [np.zeros(0, np.int64)]
+    seeds = mix(np.arange(1, MINIMA + 1, dtype=np.uint64))
     for _, _, data, offs in chunks(column):
         h, bounds = words(data, offs, FOLDED)
-        t = (h % np.uint64(TERMS)).astype(np.int64)
-        for r in range(len(bounds) - 1):
-            own = t[bounds[r] : bounds[r + 1]]
-            yield *np.unique(own, return_counts=True), len(own)
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (term, documents with it); after them TERMS has the documents and TERMS + 1 the words."""
-    df = np.zeros(TERMS + 2, np.int64)
-    for batch in batches:
-        for terms, _, n in _term_sets(batch.column(0)):
-            df[terms] += 1
-            df[TERMS] += 1
-            df[TERMS + 1] += n
-    at = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "n"])
-
-
-class _Index:
-    """BM25 over one shard."""
-
-    def __init__(self, texts: pa.Array, idf: np.ndarray, mean_words: float, query_terms: int):
-        terms, weights, docs, sizes, self.queries = [], [], [], [], []
-        for i, (t, tf, n) in enumerate(_term_sets(texts)):
-            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean_words))
-            terms.append(t)
-            weights.append(w)
-            docs.append(np.full(len(t), i))
-            sizes.append(len(t))
-            best = np.argsort(-w, kind="stable")[:query_terms]
-            self.queries.append(t[best])
-        term = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-        order = np.argsort(term, kind="stable")
-        self.terms, first = np.unique(term[order], return_index=True)
-        self.bounds = np.append(first, len(term))
-        self.weights = np.concatenate(weights)[order] if terms else np.zeros(0)
-        self.docs = np.concatenate(docs)[order] if terms else np.zeros(0, np.int64)
-        self.n = len(sizes)
+        n = np.diff(bounds)
+        low = np.full((len(n), MINIMA), (1 << 64) - 1, np.uint64)
+        some = n > 0
+        if len(h):
+            for j, seed in enumerate(seeds):
+                low[some, j] = np.minimum.reduceat(mix(h ^ seed), bounds[:-1][some])
+        raw = np.ascontiguousarray((low >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(len(n), MINIMA, 8)[:, :, 3:]).reshape(len(n), -1)
+        keys += [x.tobytes() for x in raw]
+        sizes.append(n)
+    return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(sizes), pa.int64())], ["key", "words"])
+
+
+class Index:
+    """BM25 over the documents of one shard: all their terms, and document frequencies within it."""
+
+    def __init__(self, terms: list[np.ndarray]):
+        size = np.array([len(t) for t in terms], np.int64)
+        n = len(size)
+        uniq, term = np.unique(np.concatenate(terms) if terms else np.zeros(0, np.uint64), return_inverse=True)
+        doc = np.repeat(np.arange(n), size)
+        # (term, doc) pairs in the order of terms are the inverted lists
+        pair, tf = np.unique(term * max(n, 1) + doc, return_counts=True)
+        term, self.docs = np.divmod(pair, max(n, 1))
+        df = np.bincount(term, minlength=len(uniq))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * size / max(size.mean(), 1)) if n else size
+        self.weights = idf[term] * tf * (K1 + 1) / (tf + norm[self.docs])
+        self.bounds = np.concatenate([[0], np.cumsum(df)])
+        own = np.argsort(self.docs, kind="stable")
+        self.terms = term[own]
+        self.own = np.searchsorted(self.docs[own], np.arange(n + 1))
+        self.n = n
+
+    def scores(self, doc: int) -> np.ndarray:
+        """Of each document for all different terms of `doc`."""
+        q = self.terms[self.own[doc] : self.own[doc + 1]]
+        at = ranges(self.bounds[q], self.bounds[q + 1] - self.bounds[q])
+        return np.bincount(self.docs[at], self.weights[at], self.n)
 
     def neighbours(self, doc: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with `doc`, best score first, ties by order."""
-        at = np.searchsorted(self.terms, self.queries[doc])
-        parts = [slice(self.bounds[i], self.bounds[i + 1]) for i in at]
-        if not parts:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.docs[p] for p in parts]), np.concatenate([self.weights[p] for p in parts]), self.n)
+        """Unused documents that share a term with `doc`, best score first, ties by order."""
+        score = self.scores(doc)
         score[used] = 0
         found = np.flatnonzero(score > 0)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(ids: list[np.ndarray], index: _Index, window: int) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(ids: list[np.ndarray], index: Index, window: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece."""
     out: list[tuple[int, int, int, int, int]] = []
     used = np.zeros(len(ids), bool)
@@ -294,45 +313,51 @@ def pack_shard(ids: list[np.ndarray], index: _Index, window: int) -> list[tuple[
 
 
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = 2048, end_id: int = 1, query_terms: int = 12, shard_words: int = 400_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = 2048, end_id: int = 1, shard_bytes: int = 2 << 20
 ) -> DataFrame:
     """Pieces of every document, each token in exactly one, in sequences of at most `window` tokens.
 
     Null and empty texts have only their end token; repeated rows and null ids
-    are packed like any other; further columns are ignored. A shard has about
-    `shard_words` words whatever the corpus, so its index is bounded.
+    are packed like any other; a text longer than a shard is a shard with what
+    stands before it, and is cut at windows; neighbours of equal score come in
+    the order of documents. An empty table gives an empty result; further
+    columns are ignored. A shard ends with the text that fills `shard_bytes`,
+    so its index is bounded but for a single longer text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    got = rows.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(TERMS + 2)
-    df[got["term"].to_numpy()] = got["n"].to_numpy()
-    n_docs, n_words = int(df[TERMS]), int(df[TERMS + 1])
-    idf = np.log1p((n_docs - df[:TERMS] + 0.5) / (df[:TERMS] + 0.5)).astype(np.float32)
-    corpus = spark.sparkContext.broadcast((idf, max(1.0, n_words / max(1, n_docs))))
-    shards = 1 + (n_words + n_docs) // shard_words
-
-    def run(table: pa.Table) -> pa.Table:
-        idf, mean_words = corpus.value
-        table = table.sort_by([("id", "ascending"), ("text", "ascending")])
-        texts = table["text"].combine_chunks()
-        ids = list(_tokenizer(tokenizer or default_tokenizer()).encode(texts, end_id))
-        out = pack_shard(ids, _Index(texts, idf, mean_words, query_terms), window)
+    placed = Scratch(spark, "packing").keep(rows.withColumn("at", _place("text")).select("id", "text", "at.key", "at.words"), "placed")
+    size = placed.agg(F.sum(F.col("words") + 1)).first()[0] or 0
+
+    def packed(ids: list, texts: list[pa.Array], shard: int) -> pa.RecordBatch:
+        read = list(_tokenizer(tokenizer or default_tokenizer()).read(pa.concat_arrays(texts)))
+        own = [np.append(x, np.int32(end_id)) for x, _ in read]
+        out = pack_shard(own, Index([t for _, t in read]), window)
         d, start, length, seq, off = (np.array(c, np.int64) for c in zip(*out, strict=True))
-        crc = [zlib.crc32(ids[i][s : s + n].astype("<u4").tobytes()) for i, s, n, _, _ in out]
-        shard = table["shard"][0].as_py()
-        sizes = np.array([len(x) for x in ids], np.int64)
-        return pa.table(
-            {
-                "doc_id": table["id"].combine_chunks().take(pa.array(d)),
-                "start": start,
-                "length": length,
-                "ids_crc32": pa.array(crc, pa.int64()),
-                "doc_tokens": sizes[d],
-                "sequence_id": seq + (shard << 32),
-                "offset": off,
-            }
-        )
-
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, PIECES).withColumnRenamed("doc_id", id_col)
+        crc = [zlib.crc32(own[i][s : s + n].astype("<u4").tobytes()) for i, s, n, _, _ in out]
+        sizes = np.array([len(x) for x in own], np.int64)
+        cols = [pa.array(ids, pa.int64()).take(pa.array(d)), start, length, pa.array(crc, pa.int64()), sizes[d], seq + (shard << 24), off]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], [x.split()[0] for x in PIECES.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << 16
+        ids, texts, held = [], [], 0
+        for batch in batches:
+            at, text = 0, batch.column(1)
+            ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            while at < len(batch):
+                # up to the text that fills the shard
+                to = min(len(batch), int(np.searchsorted(ends, shard_bytes - held + (ends[at - 1] if at else 0))) + 1)
+                ids += batch.column(0).slice(at, to - at).to_pylist()
+                texts.append(text.slice(at, to - at))
+                held += int(ends[to - 1] - (ends[at - 1] if at else 0))
+                at = to
+                if held >= shard_bytes:
+                    yield packed(ids, texts, shard)
+                    shard, ids, texts, held = shard + 1, [], [], 0
+        if ids:
+            yield packed(ids, texts, shard)
+
+    order = ["key", F.xxhash64("id", "text")]
+    dealt = placed.repartitionByRange(1 + size // TASK_WORDS, *order).sortWithinPartitions(*order).select("id", "text")
+    return dealt.mapInArrow(run, PIECES).withColumnRenamed("doc_id", id_col)
