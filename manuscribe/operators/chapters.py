@@ -69,5 +69,5 @@ def artefacts(runs: DataFrame, most: int = 50) -> DataFrame:
     ]
     hits = F.array(*[F.struct(F.lit(n).alias("type"), F.coalesce(h, F.lit(False)).alias("hit")) for n, h in rules])
     out = runs.select("book", "para_idx", "text", F.inline(F.filter(hits, lambda x: x["hit"]))).drop("hit")
-    n = F.count("*").over(Window.partitionBy("type"))
-    return out.select("type", "book", "para_idx", "text", n.alias("n"), (n <= most).alias("itemised"))
+    n = F.broadcast(out.groupBy("type").agg(F.count("*").alias("n")))  # a row for each of the nine rules
+    return out.join(n, "type").select("type", "book", "para_idx", "text", "n", (F.col("n") <= most).alias("itemised"))

@@ -17,9 +17,11 @@ COMMA = "COMMA_COMPOUND_SENTENCE"
 def kept_matches(matches: DataFrame, disabled: DataFrame | None = None, ignored: DataFrame | None = None, issue_types: list[str] | None = None) -> DataFrame:
     """matches (rule, context, issue_type, ...) but those of disabled rules (rule) or with an ignored phrase (phrase) in their context."""
     if disabled is not None:
-        matches = matches.join(F.broadcast(disabled.select(F.col("rule").alias("_r"))), F.col("rule") == F.col("_r"), "left_anti")
+        matches = matches.join(disabled.select(F.col("rule").alias("_r")), F.col("rule") == F.col("_r"), "left_anti")
     if ignored is not None:
-        matches = matches.join(F.broadcast(ignored.select(F.col("phrase").alias("_p"))), F.contains("context", "_p"), "left_anti")
+        # a rule file's phrases as one array beside each match: no pairs of rows are made
+        held = ignored.agg(F.collect_set("phrase").alias("_ps"))
+        matches = matches.crossJoin(F.broadcast(held)).filter(~F.exists("_ps", lambda p: F.contains(F.col("context"), p))).drop("_ps")
     return matches if issue_types is None else matches.filter(F.col("issue_type").isin(issue_types))
 
 
@@ -85,4 +87,6 @@ def ward_overlap(tokens: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def ward_summary(overlap: DataFrame) -> DataFrame:
-    return overlap.agg(F.count_distinct("doc_id", "para_no").alias("paragraphs"), F.count_if("flagged").alias("flagged"), F.count("*").alias("tokens"))
+    """(paragraphs, flagged, tokens, rules): one row; rules are the distinct ones that overlap."""
+    rules = F.size(F.array_distinct(F.flatten(F.collect_set("rules")))).cast("long")
+    return overlap.agg(F.count_distinct("doc_id", "para_no").alias("paragraphs"), F.count_if("flagged").alias("flagged"), F.count("*").alias("tokens"), rules.alias("rules"))

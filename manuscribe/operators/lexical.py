@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.similarity import may_reach, ratio
-from ..functions.text import ASCII_WORD, UNICODE_WORD, like_case, tokens, white_words
+from ..functions.similarity import close_pairs, may_reach, ratio
+from ..functions.text import ASCII_WORD, UNICODE_WORD, like_case, token_array, tokens, white_words
 
 # Fixed values.
 KEEP_WORDS = ["programme", "jewellery", "kerb", "tyre", "draught", "honour", "traveller", "mould", "sombre", "armour", "rumour", "savour", "clamour", "labour", "favour", "flavour"]
@@ -49,7 +49,7 @@ def house_spelling(docs: DataFrame, pairs: DataFrame | None = None) -> DataFrame
     """(doc_id, token, suggestion, n): words spelled against the house's list; pairs is (wrong, preferred)."""
     pairs = table(docs.sparkSession, list(HOUSE_SPELLING.items()), ("wrong", "preferred")) if pairs is None else pairs
     t = tokens(docs, "text", "doc_id", pattern=r"(?U)\w+").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    return t.join(F.broadcast(pairs), F.lower("token") == F.col("wrong")).select("doc_id", "token", like_case(F.col("token"), F.col("preferred")).alias("suggestion"), "n")
+    return t.join(pairs, F.lower("token") == F.col("wrong")).select("doc_id", "token", like_case(F.col("token"), F.col("preferred")).alias("suggestion"), "n")
 
 
 def spelling_tokens(docs: DataFrame) -> DataFrame:
@@ -75,12 +75,14 @@ def unknown_words(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def suggestions(unknown: DataFrame, lexicon: DataFrame, most: int = 2) -> DataFrame:
-    """(token_lower, suggestion, distance): nearest word of the lexicon (word, n) with the same first two letters and a length within `most`."""
+    """(token_lower, suggestion, distance): nearest word of the lexicon (word, n) within `most` edits, with the same first letter and a length within `most`."""
     lex = lexicon.select(F.lower("word").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("freq"))
-    u = unknown.select("token_lower", F.substring("token_lower", 1, 2).alias("f"))
-    pair = u.join(lex.withColumn("f", F.substring("word", 1, 2)), "f").filter(F.abs(F.length("word") - F.length("token_lower")) <= most)
-    near = pair.withColumn("distance", F.levenshtein("token_lower", "word", most)).filter("distance BETWEEN 1 AND " + str(most))
-    return near.groupBy("token_lower").agg(F.min(F.struct("distance", -F.col("freq"), "word")).alias("b")).select("token_lower", F.col("b.word").alias("suggestion"), F.col("b.distance").alias("distance"))
+    # a replaced letter is one edit here, and leaves all parts but one whole
+    right = lex.select(F.col("word").alias("key"), "word", F.substring("word", 1, 1).alias("first"))
+    left = unknown.select(F.col("token_lower").alias("key"), F.col("token_lower").alias("word"), F.substring("token_lower", 1, 1).alias("first"))
+    pair = close_pairs(left, right, lambda n, m: F.lit(most), lambda m: m - most, lambda m: m + most)
+    near = pair.withColumn("distance", F.levenshtein("lkey", "rkey", most)).filter(f"distance BETWEEN 1 AND {most}").join(lex, F.col("rkey") == F.col("word"))
+    return near.groupBy(F.col("lkey").alias("token_lower")).agg(F.min(F.struct("distance", -F.col("freq"), "word")).alias("b")).select("token_lower", F.col("b.word").alias("suggestion"), F.col("b.distance").alias("distance"))
 
 
 def flag_words(docs: DataFrame, rules: DataFrame, allowed: DataFrame | None = None, phrases: bool = False) -> DataFrame:
@@ -90,8 +92,8 @@ def flag_words(docs: DataFrame, rules: DataFrame, allowed: DataFrame | None = No
     """
     t = spelling_tokens(docs).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     if allowed is not None:
-        t = t.join(F.broadcast(allowed.filter("word = upper(word) AND word <> lower(word)").select(F.lower("word").alias("_w"))), F.lower("token") == F.col("_w"), "left_anti")
-    out = t.join(F.broadcast(rules), F.lower("token") == F.col("wrong_lower")).select("doc_id", "token", F.col("right").alias("suggestion"), "n")
+        t = t.join(allowed.filter("word = upper(word) AND word <> lower(word)").select(F.lower("word").alias("_w")), F.lower("token") == F.col("_w"), "left_anti")
+    out = t.join(rules, F.lower("token") == F.col("wrong_lower")).select("doc_id", "token", F.col("right").alias("suggestion"), "n")
     if not phrases:
         return out
     many = phrase_hits(docs, rules.filter("wrong_lower LIKE '% %'").select(F.col("wrong_lower").alias("phrase"), F.col("right").alias("suggestion")))
@@ -99,24 +101,22 @@ def flag_words(docs: DataFrame, rules: DataFrame, allowed: DataFrame | None = No
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(doc_id, phrase and the other columns of `phrases`, n): whole-word hits in any case, by joins of word n-grams.
+    """(doc_id, phrase and the other columns of `phrases`, n): whole-word hits in any case.
 
     Texts are cut into words and the characters between them, so that a phrase
-    matches only where its own separators stand.
+    matches only where its own separators stand. Pieces meet the phrases' first
+    pieces; only there the rest is compared. `phrases` is a rule table.
     """
-    out = None
     pieces = r"(?U)[\w]+|[^\w]+"
-    p = phrases.withColumn("_parts", F.regexp_extract_all(F.lower("phrase"), F.lit(pieces), F.lit(0))).withColumn("_size", F.size("_parts"))
-    sizes = sorted(r[0] for r in p.select("_size").distinct().collect())
-    parts = docs.select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(pieces), F.lit(0)).alias("_t"))
-    for n in sizes:
-        m = F.greatest(F.size("_t") - (n - 1), F.lit(0))
-        grams = parts.select("doc_id", F.explode(F.arrays_zip(*[F.slice("_t", i + 1, m).alias(f"w{i}") for i in range(n)])).alias("g"))
-        keys = F.broadcast(p.filter(F.col("_size") == n))
-        hit = grams.join(keys.withColumns({f"_k{i}": F.element_at("_parts", i + 1) for i in range(n)}), [F.col(f"g.w{i}") == F.col(f"_k{i}") for i in range(n)])
-        hit = hit.groupBy("doc_id", *phrases.columns).agg(F.count("*").alias("n"))
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    cut = lambda c: F.regexp_extract_all(F.lower(c), F.lit(pieces), F.lit(0))
+    p = phrases.withColumn("_parts", cut(F.col("phrase"))).withColumn("_first", F.element_at("_parts", 1))
+    firsts = p.select("_first").distinct()
+    rows = docs.select("doc_id", cut(F.coalesce("text", F.lit(""))).alias("_t"))
+    longest = p.agg(F.max(F.size("_parts"))).first()[0] or 0
+    at = rows.select("doc_id", F.posexplode(F.transform("_t", lambda x, i: F.struct(x.alias("w"), i.alias("i")))).alias("_i", "_x"), "_t").select("doc_id", "_i", F.col("_x.w").alias("_first"), "_t")
+    near = at.join(firsts, "_first", "left_semi").select("doc_id", "_first", F.slice("_t", F.col("_i") + 1, F.lit(max(longest, 1))).alias("_ahead"))
+    hit = near.join(p, "_first").filter(F.slice("_ahead", F.lit(1), F.size("_parts")) == F.col("_parts"))
+    return hit.groupBy("doc_id", *phrases.columns).agg(F.count("*").alias("n"))
 
 
 def lr_swaps(docs: DataFrame, lexicon: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -145,24 +145,34 @@ def capitalised(docs: DataFrame, least: int = 3) -> DataFrame:
 def name_drift(names: DataFrame, similarity: float = 90.0, canonical: int = 3, variant: int = 2) -> DataFrame:
     """(canonical, variant, canonical_n, variant_n, score) of names (token_lower, n): rare forms close to a common one with the same first letter.
 
-    A rare and a common form of similar length share most letters, so lengths
-    prune before the score; the common side is the smaller by frequency.
+    The ratio leaves room for (1 - similarity / 100) of both lengths in
+    insertions and deletions, so words meet under parts that these leave whole.
     """
-    c = names.filter(F.col("n") >= canonical).select(F.col("token_lower").alias("canonical"), F.col("n").alias("canonical_n"), F.substring("token_lower", 1, 1).alias("f"))
-    v = names.filter(F.col("n") <= variant).select(F.col("token_lower").alias("variant"), F.col("n").alias("variant_n"), F.substring("token_lower", 1, 1).alias("f"))
-    c = c.withColumn("len", F.length("canonical"))
-    slack = 2 - 2 * similarity / 100
-    span = F.ceil(F.length("variant") * slack).cast("int")
-    v = v.withColumn("len", F.explode(F.sequence(F.length("variant") - span, F.length("variant") + span)))
-    pairs = c.join(v, ["f", "len"]).filter(may_reach(F.col("canonical"), F.col("variant"), similarity))
-    return pairs.select("canonical", "variant", "canonical_n", "variant_n", ratio("canonical", "variant").alias("score")).filter(F.col("score") >= similarity - 1e-9)
+    t = similarity / 100
+    c = names.filter(F.col("n") >= canonical).select(F.col("token_lower").alias("canonical"), F.col("n").alias("canonical_n"))
+    v = names.filter(F.col("n") <= variant).select(F.col("token_lower").alias("variant"), F.col("n").alias("variant_n"))
+    keyed = [d.select(F.col(w).alias("key"), F.col(w).alias("word"), F.substring(w, 1, 1).alias("first")) for d, w in ((v, "variant"), (c, "canonical"))]
+    room = lambda n, m: F.floor((n + m) * (1 - t) + 1e-9)
+    pairs = close_pairs(*keyed, room, lambda m: F.ceil(m * t / (2 - t) - 1e-9), lambda m: F.floor(m * (2 - t) / t + 1e-9))
+    pairs = pairs.filter(may_reach(F.col("lkey"), F.col("rkey"), similarity)).withColumn("score", ratio("rkey", "lkey")).filter(F.col("score") >= similarity - 1e-9)
+    return pairs.join(c, F.col("rkey") == F.col("canonical")).join(v, F.col("lkey") == F.col("variant")).select("canonical", "variant", "canonical_n", "variant_n", "score")
+
+
+def drift_groups(drift: DataFrame) -> DataFrame:
+    """(canonical, canonical_n, variants): each canonical name's variants as structs (variant, variant_n, score), most frequent and then closest first."""
+    order = F.struct((-F.col("variant_n")).alias("_n"), (-F.col("score")).alias("_s"), "variant", "variant_n", "score")
+    g = drift.groupBy("canonical", "canonical_n").agg(F.array_sort(F.collect_list(order)).alias("v"))
+    return g.select("canonical", "canonical_n", F.transform("v", lambda x: F.struct(x["variant"].alias("variant"), x["variant_n"].alias("variant_n"), x["score"].alias("score"))).alias("variants"))
 
 
 def crutch_overview(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(word, n, total_words, per_10k, guideline, above) of rules (word, guideline)."""
-    total = docs.agg(F.sum(F.size(white_words(F.col("text")))).alias("total_words"))
-    counts = tokens(docs, "text", pattern=r"(?U)\w+").groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n"))
-    out = F.broadcast(rules).join(counts, "word", "left").crossJoin(F.broadcast(total)).withColumn("n", F.coalesce("n", F.lit(0)))
+    """(word, n, total_words, per_10k, guideline, above) of rules (word, guideline); one scan, and nothing but the rules' words is shuffled."""
+    said = docs.select(F.size(white_words(F.col("text"))).alias("_w"), token_array(F.col("text"), r"(?U)\w+").alias("_ts"))
+    said = said.select("_w", F.posexplode_outer("_ts").alias("_p", "_t"))
+    named = said.join(rules.select(F.col("word").alias("_word")), F.lower("_t") == F.col("_word"), "left")
+    counts = named.groupBy("_word").agg(F.count("*").alias("n"), F.sum(F.when(F.coalesce("_p", F.lit(0)) == 0, F.col("_w"))).alias("_all"))
+    total = counts.agg(F.sum("_all").alias("total_words"))
+    out = rules.join(counts.select(F.col("_word").alias("word"), "n"), "word", "left").crossJoin(F.broadcast(total)).withColumn("n", F.coalesce("n", F.lit(0)))
     rate = F.try_divide(F.col("n") * 10000.0, "total_words")
     return out.select("word", "n", "total_words", rate.alias("per_10k"), "guideline", (F.coalesce(rate, F.lit(0.0)) > F.col("guideline")).alias("above"))
 
@@ -188,7 +198,7 @@ def inflections(lemmas: list[str] | None = None) -> dict[str, str]:
 def lemma_counts(docs: DataFrame, forms: DataFrame) -> DataFrame:
     """(lemma, doc_id, n) of forms (form, lemma)."""
     t = tokens(docs, "text", "doc_id", pattern=r"(?U)\p{L}+").groupBy("doc_id", F.lower("token").alias("form")).agg(F.count("*").alias("n"))
-    return t.join(F.broadcast(forms), "form").groupBy("lemma", "doc_id").agg(F.sum("n").alias("n"))
+    return t.join(forms, "form").groupBy("lemma", "doc_id").agg(F.sum("n").alias("n"))
 
 
 def lemma_concentration(counts: DataFrame, total: int = 25, chapter: int = 6, share: float = 0.25) -> DataFrame:
@@ -201,7 +211,7 @@ def lemma_concentration(counts: DataFrame, total: int = 25, chapter: int = 6, sh
 def compound_counts(docs: DataFrame, families: DataFrame, whitelist: DataFrame | None = None) -> DataFrame:
     """(family, preferred_n, variant, variant_n) of families (family, alts) with a variant in use."""
     if whitelist is not None:
-        families = families.join(F.broadcast(whitelist.select(F.lower("word").alias("_w"))), F.lower("family") == F.col("_w"), "left_anti")
+        families = families.join(whitelist.select(F.lower("word").alias("_w")), F.lower("family") == F.col("_w"), "left_anti")
     forms = families.select("family", F.col("family").alias("phrase"), F.lit(True).alias("preferred")).unionByName(families.select("family", F.explode("alts").alias("phrase"), F.lit(False).alias("preferred")))
     hits = phrase_hits(docs, forms).groupBy("family", "phrase", "preferred").agg(F.sum("n").alias("n"))
     pref = hits.filter("preferred").select("family", F.col("n").alias("preferred_n"))
@@ -224,5 +234,5 @@ def similes(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     noun = F.regexp_replace(F.regexp_replace("noun", r"^(a|an|the|some)\s+", ""), "(?<=[^s]{3})s$", "")
     t = t.select("chapter", F.concat(F.lit("like "), noun).alias("phrase"))
     if groups is not None:
-        t = t.join(F.broadcast(groups), "phrase", "left").select("chapter", F.coalesce("key", "phrase").alias("phrase"))
+        t = t.join(groups, "phrase", "left").select("chapter", F.coalesce("key", "phrase").alias("phrase"))
     return t.select("phrase", "chapter")

@@ -21,7 +21,7 @@ OPENERS = "“\"‘'"
 
 DOUBLE_SPACE, REPEATED, MULTI_PUNCT = "double_space", "repeated_word", "multi_punct"
 
-#: Rules that a search on one line decides: name -> Java pattern.
+#: Fixed values. Rules that a search on one line decides: name -> Java pattern.
 SEARCHES = {
     "double_space": "  +",
     "editing_marker": r"\[\[|<<|NOTE:",
@@ -155,7 +155,7 @@ def _starts(line: Column, what: str) -> Column:
 def line_end_comma(ls: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
     """Lines that end in a comma unless the next written line opens a quote or goes on with a conjunction."""
     if accepted is not None:
-        ls = ls.join(F.broadcast(accepted.select(F.col("line").alias("_l"))), F.regexp_replace("line", r"(?U)^\s+|\s+$", "") == F.col("_l"), "left_anti")
+        ls = ls.join(accepted.select(F.col("line").alias("_l")), F.regexp_replace("line", r"(?U)^\s+|\s+$", "") == F.col("_l"), "left_anti")
     told = ls.filter(F.col("line").rlike(r"(?U)\S"))
     nxt = F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
     told = told.withColumn("_next", nxt).filter(F.col("line").rlike(r"(?U).,\s*$"))
@@ -168,7 +168,7 @@ def _paragraphs(ls: DataFrame, accepted: DataFrame | None) -> DataFrame:
     if accepted is None:
         ls = ls.withColumn("ok", F.lit(False))
     else:
-        a = F.broadcast(accepted.select(F.col("line").alias("_l")).distinct())
+        a = accepted.select(F.col("line").alias("_l")).distinct()
         ls = ls.join(a, F.regexp_replace("line", r"(?U)^\s+|\s+$", "") == F.col("_l"), "left").withColumn("ok", F.col("_l").isNotNull()).drop("_l")
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     blank = ~F.col("line").rlike(r"(?U)\S")
@@ -181,7 +181,8 @@ def paragraph_no_terminal(ls: DataFrame, accepted: DataFrame | None = None, leas
     n = F.size(token_array(F.col("line"), ASCII_NUMBER_WORD))
     last = p.groupBy("doc_id", "para").agg(F.sum(n).alias("n"), F.max_by(F.struct("line_no", "line"), "line_no").alias("l")).filter(F.col("n") >= least_words)
     bare = F.regexp_replace(F.col("l.line"), "(?U)[\\s”’\"')\\]}]+$", "")
-    return last.filter(~bare.rlike("[.!?…,:;—–-]$")).select(F.lit("paragraph_no_terminal").alias("type"), "doc_id", F.col("l.line_no").alias("line_no"), F.col("l.line").alias("line"))
+    # a line of closers only leaves nothing to judge
+    return last.filter((bare != "") & ~bare.rlike("[.!?…,:;—–-]$")).select(F.lit("paragraph_no_terminal").alias("type"), "doc_id", F.col("l.line_no").alias("line_no"), F.col("l.line").alias("line"))
 
 
 def quote_state(ls: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
@@ -213,7 +214,7 @@ def check(docs: DataFrame, accepted: DataFrame | None = None, allowed: DataFrame
     ls = lines(docs)
     told = ls
     if accepted is not None:
-        told = ls.join(F.broadcast(accepted.select(F.col("line").alias("_l")).distinct()), F.regexp_replace("line", r"(?U)^\s+|\s+$", "") == F.col("_l"), "left_anti")
+        told = ls.join(accepted.select(F.col("line").alias("_l")).distinct(), F.regexp_replace("line", r"(?U)^\s+|\s+$", "") == F.col("_l"), "left_anti")
     out = line_issues(told, intended).unionByName(repeated_words(told, allowed).select(F.lit("repeated_word").alias("type"), "doc_id", "line_no", F.col("word").alias("line")))
     for more in (line_end_comma(ls, accepted), paragraph_no_terminal(ls, accepted), quote_state(ls, accepted)):
         out = out.unionByName(more)

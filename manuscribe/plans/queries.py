@@ -143,13 +143,13 @@ def line_end_comma(spark, sf_dir):
     return structure.line_end_comma(lines(_docs(spark, sf_dir, _COMMA))).select("doc_id", "line_no", "line")
 
 
-_PARAS = seed(3, ("concat('.', chr(10))", "concat(chr(10), chr(10))"))
+_PARAS = seed(3, ("concat('.', chr(10))", "concat(chr(10), chr(10))"), ("', '", "concat(chr(10), '”)', chr(10), chr(10))"))
 
 
 @_query(
     rf"""WITH {_lines_sql(_PARAS)}, q AS (SELECT *, sum(CASE WHEN regexp_matches(line, '\S') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS para FROM l),
     g AS (SELECT doc_id, para, sum(len(regexp_extract_all(line, '[A-Za-z0-9]+(?:[’''][A-Za-z0-9]+)?'))) AS n, max(line_no) AS line_no, arg_max(line, line_no) AS line FROM q WHERE regexp_matches(line, '\S') GROUP BY doc_id, para)
-    SELECT doc_id, line_no, line FROM g WHERE n >= 10 AND NOT regexp_matches(regexp_replace(line, '[\s”’"'')\]}}]+$', ''), '[.!?…,:;—–-]$')"""
+    SELECT doc_id, line_no, line FROM g WHERE n >= 10 AND regexp_replace(line, '[\s”’"'')\]}}]+$', '') <> '' AND NOT regexp_matches(regexp_replace(line, '[\s”’"'')\]}}]+$', ''), '[.!?…,:;—–-]$')"""
 )
 def paragraph_no_terminal(spark, sf_dir):
     """Paragraphs that end without terminal punctuation."""
@@ -262,23 +262,23 @@ def spell_unknown(spark, sf_dir):
     return lexical.unknown_words(d, _lexicon(d, 3))
 
 
-@_query(f"""WITH {_SPELL_SQL}, {_lex_sql(3)}, {_UNKNOWN_SQL}, c AS (SELECT token_lower, word, n, levenshtein(plain, word) AS distance FROM (SELECT token_lower, regexp_replace(token_lower, '[^\\x00-\\x7F]', '#', 'g') AS plain FROM u) JOIN lx ON token_lower[:2] = word[:2] AND abs(length(word) - length(token_lower)) <= 1),
-    b AS (SELECT *, row_number() OVER (PARTITION BY token_lower ORDER BY distance, n DESC, word) AS k FROM c WHERE distance = 1)
+@_query(f"""WITH {_SPELL_SQL}, {_lex_sql(3)}, {_UNKNOWN_SQL}, c AS (SELECT token_lower, word, n, levenshtein(plain, word) AS distance FROM (SELECT token_lower, regexp_replace(token_lower, '[^\\x00-\\x7F]', '#', 'g') AS plain FROM u) JOIN lx ON token_lower[:1] = word[:1] AND abs(length(word) - length(token_lower)) <= 2),
+    b AS (SELECT *, row_number() OVER (PARTITION BY token_lower ORDER BY distance, n DESC, word) AS k FROM c WHERE distance BETWEEN 1 AND 2)
     SELECT token_lower, word AS suggestion, CAST(distance AS INTEGER) AS distance FROM b WHERE k = 1""")
 def spell_suggest(spark, sf_dir):
-    """The nearest known word of unknown ones, one edit away."""
+    """The nearest known word of unknown ones, at most two edits away."""
     d = _docs(spark, sf_dir)
     lex = _lexicon(d, 3)
-    return lexical.suggestions(lexical.unknown_words(d, lex), lex, 1)
+    return lexical.suggestions(lexical.unknown_words(d, lex), lex)
 
 
 _KEEP_SQL = ", ".join(f"'{w}'" for w in lexical.KEEP_WORDS)
-_LR_SQL = rf"""WITH {_lex_sql(2)}, c AS (SELECT doc_id, lower(token) AS token_lower, count(*) AS n FROM a WHERE length(token) >= 4 AND NOT regexp_matches(token, '^[A-Z][a-z]+$') AND NOT regexp_matches(lower(token), '^[lr]') AND lower(token) NOT IN ({_KEEP_SQL}) GROUP BY 1, 2),
-    w AS (SELECT DISTINCT token_lower FROM c WHERE token_lower NOT IN (SELECT word FROM lx)),
+_LR_SQL = rf"""WITH {_lex_sql(2).replace(" AS (", " AS MATERIALIZED (")}, c AS MATERIALIZED (SELECT doc_id, lower(token) AS token_lower, count(*) AS n FROM a WHERE length(token) >= 4 AND NOT regexp_matches(token, '^[A-Z][a-z]+$') AND NOT regexp_matches(lower(token), '^[lr]') AND lower(token) NOT IN ({_KEEP_SQL}) GROUP BY 1, 2),
+    w AS MATERIALIZED (SELECT DISTINCT token_lower FROM c WHERE token_lower NOT IN (SELECT word FROM lx)),
     m AS (SELECT token_lower, s, unnest(range(1, len(s))) AS k FROM (SELECT token_lower, string_split(regexp_replace(token_lower, '([aeiouy][bcdfghjkmnpqtvwxz][lr][aeiouy])', '#\1', 'g'), '#') AS s FROM w)),
     i AS (SELECT token_lower, length(array_to_string(s[1:k], '')) + 3 AS i FROM m),
     x AS (SELECT token_lower, i, token_lower[:i - 1] || CASE WHEN token_lower[i] = 'l' THEN 'r' ELSE 'l' END || token_lower[i + 1:] AS sw FROM i),
-    f AS (SELECT token_lower, arg_min(sw, i) AS suggestion FROM x WHERE sw IN (SELECT word FROM lx) GROUP BY 1)"""
+    f AS MATERIALIZED (SELECT token_lower, arg_min(sw, i) AS suggestion FROM x WHERE sw IN (SELECT word FROM lx) GROUP BY 1)"""
 
 
 @_query(_LR_SQL + " SELECT doc_id, token_lower, suggestion, CAST(n AS BIGINT) AS n FROM c JOIN f USING (token_lower)")
@@ -311,12 +311,27 @@ def name_candidates(spark, sf_dir):
     return lexical.capitalised(d).join(lex, "token_lower", "left_anti")
 
 
-@_query()
+# a longest common subsequence grows row by row: of each pair's row, the best of all places so far
+_DRIFT_SQL = f"""WITH RECURSIVE {_CAPS_SQL}, p AS MATERIALIZED (SELECT c.token_lower AS canonical, v.token_lower AS variant, c.n AS canonical_n, v.n AS variant_n FROM cap c JOIN cap v ON c.n >= 3 AND v.n <= 2 AND c.token_lower[1] = v.token_lower[1]
+        AND least(length(c.token_lower), length(v.token_lower)) * 200 >= (length(c.token_lower) + length(v.token_lower)) * 90 AND levenshtein(c.token_lower, v.token_lower) * 10 <= length(c.token_lower) + length(v.token_lower)),
+    r AS (SELECT canonical, variant, 0 AS i, list_transform(range(0, length(variant) + 1), lambda x: 0::BIGINT) AS best FROM p
+        UNION ALL SELECT canonical, variant, i + 1, list_prepend(0::BIGINT, list_transform(range(1, length(variant) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(best[k + 1], best[k] + CASE WHEN canonical[i + 1] = variant[k] THEN 1 ELSE 0 END))))) FROM r WHERE i < length(canonical)),
+    drift AS (SELECT p.*, 200.0::DOUBLE * best[-1] / (length(canonical) + length(variant)) AS score FROM p JOIN r USING (canonical, variant) WHERE i = length(canonical) AND 200 * best[-1] >= 90 * (length(canonical) + length(variant)))"""
+
+
+@_query(f"{_DRIFT_SQL} SELECT canonical, variant, canonical_n, variant_n, score FROM drift")
 def name_drift(spark, sf_dir):
     """Rare names close to common ones."""
     return lexical.name_drift(lexical.capitalised(_docs(spark, sf_dir)))
 
 
+@_query(f"{_DRIFT_SQL} SELECT canonical, canonical_n, string_agg(variant || ':' || variant_n, ',' ORDER BY variant_n DESC, score DESC, variant) AS variants FROM drift GROUP BY ALL")
+def drift_groups(spark, sf_dir):
+    """The variants of each common name, most frequent and closest first."""
+    g = lexical.drift_groups(name_drift(spark, sf_dir))
+    return g.select("canonical", "canonical_n", F.array_join(F.transform("variants", lambda x: F.concat_ws(":", x["variant"], x["variant_n"].cast("string"))), ",").alias("variants"))
+
+
 _COMPOUND = seed(3, ("' of the '", "' of-the '"), ("' it was '", "' itwas '"))
 
 
@@ -445,15 +460,15 @@ def dup_phrases(spark, sf_dir):
     return phrases.near_repeats(phrases.phrase_lines(_docs(spark, sf_dir)))
 
 
-_PARAGRAPHS = "CASE WHEN doc_id % 7 = 0 THEN concat('Chapter ', CAST(doc_id % 5 AS VARCHAR(9)), ': x') WHEN doc_id % 31 = 1 THEN 'Epilogue' ELSE substring(text, 1, 40) END"
-_SEG_SQL = rf"""g AS (SELECT lang AS book, doc_id AS para_idx, {_PARAGRAPHS} AS text FROM documents),
+_PARAGRAPHS = "CASE WHEN doc_id % 7 = 0 THEN concat('Chapter ', CAST(doc_id % 5 AS VARCHAR(9)), ': x') WHEN doc_id % 31 = 1 THEN 'Epilogue' ELSE text END"
+_SEG_SQL = rf"""g AS (SELECT doc_id // 100 AS book, doc_id AS para_idx, {_PARAGRAPHS} AS text FROM documents),
     h AS (SELECT *, regexp_matches(text, '(?i)^(?:rule|chapter)\s*(?:#\s*)?(\d+)') AS ch, regexp_matches(text, '(?i)^\s*epilogue([^\p{{L}}\p{{N}}_]|$)') AS ep FROM g),
     k AS (SELECT *, ch OR ep AS heading, sum(CAST(ch OR ep AS INT)) OVER w AS chapter, coalesce(last_value(CASE WHEN ch THEN CAST(regexp_extract(text, '(\d+)', 1) AS INT) END IGNORE NULLS) OVER w, 0) AS ln, sum(CAST(ep AND NOT ch AS INT)) OVER w AS e FROM h WINDOW w AS (PARTITION BY book ORDER BY para_idx ROWS UNBOUNDED PRECEDING)),
     s AS (SELECT *, ln + e - coalesce(last_value(CASE WHEN ch THEN e END IGNORE NULLS) OVER (PARTITION BY book ORDER BY para_idx ROWS UNBOUNDED PRECEDING), 0) AS number FROM k)"""
 
 
 def _segments(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("book"), F.col("doc_id").alias("para_idx"), F.expr(_PARAGRAPHS).alias("text"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.floor(F.col("doc_id") / 100).alias("book"), F.col("doc_id").alias("para_idx"), F.expr(_PARAGRAPHS).alias("text"))
     return chapters.segments(d)
 
 
@@ -486,18 +501,3 @@ def dictionary_counts(spark, sf_dir):
     """Entries per dictionary, and of all together."""
     w = lexical.table(spark, [("a", "book"), ("b", "book"), ("b", "house"), ("c", "house"), ("d", "house")], ("word", "source"))
     return w.groupBy("source").agg(F.count_distinct("word").alias("entries")).crossJoin(w.agg(F.count_distinct("word").alias("merged")))
-
-
-_STEPS = [("01", 0, "✅ fine"), ("02", 0, "⚠ three issues"), ("08", 0, "ℹ️ note"), ("09", 2, "✅ fine")]
-
-
-@_query("SELECT * FROM (VALUES ('01', '✅'), ('02', '⚠️'), ('08', 'ℹ️'), ('09', '❌')) v(step, icon)")
-def run_status(spark, sf_dir):
-    """The icon of each step."""
-    return runs.status(lexical.table(spark, _STEPS, ("step", "rc", "line"))).select("step", "icon")
-
-
-@_query("SELECT 4::BIGINT AS steps, 1::BIGINT AS failed, 1::BIGINT AS warnings, false AS clean")
-def gate(spark, sf_dir):
-    """Whether the run is clean."""
-    return runs.gate(lexical.table(spark, _STEPS, ("step", "rc", "line")), ["08"])

@@ -38,6 +38,26 @@ def lexicon(spark: SparkSession, *paths: str | Path, folded: bool = False, **how
     return _frame(spark, rows, "word string, source string").distinct()
 
 
+def repeatable(spark: SparkSession, path: str | Path) -> DataFrame:
+    """lexicon(word, source) of every non-blank line in lower case; includes and comments are entries like others."""
+    return _frame(spark, [(w.lower(), f) for w, f in entries(path, comments=False)], "word string, source string").distinct()
+
+
+def system_words(spark: SparkSession, path: str | Path = "/usr/share/dict/words") -> DataFrame:
+    """lexicon(word, source) of the system's word list in lower case; empty where there is none."""
+    return _frame(spark, [(w.lower(), f) for w, f in entries(path, comments=False, missing_ok=True)], "word string, source string").distinct()
+
+
+def accepted_lines(spark: SparkSession, path: str | Path) -> DataFrame:
+    """accepted(line): the stripped, non-blank lines of a file that may be missing."""
+    return _frame(spark, sorted({(w,) for w, _ in entries(path, comments=False, missing_ok=True)}), "line string")
+
+
+def allow_file(spark: SparkSession, path: str | Path | None) -> DataFrame:
+    """lexicon(word, source) of a file of allowed words: none without a path, and an error if the named file is missing."""
+    return lexicon(spark, path) if path else _frame(spark, [], "word string, source string")
+
+
 def flag_words(spark: SparkSession, path: str | Path) -> DataFrame:
     """flag_words(wrong_lower, right) of lines "wrong => right"; a later line for the same word wins."""
     found = {}
