@@ -151,3 +151,63 @@ def test_queries_have_rows_and_match_sql(spark):
         assert key(got) == key(want), name
         assert len(got), name
     assert entry.entry(spark).count() == len(plans.CRUTCH)
+
+
+def test_close_words_meet_whatever_their_length(spark):
+    """Names and suggestions against all pairs, long forms and edits at both ends included."""
+    import random
+
+    from manuscribe.functions.similarity import lcs
+
+    rng = random.Random(4)
+    names = {"".join(rng.choice("abcde") for _ in range(rng.choice((3, 4, 6, 9, 14, 45)))) for _ in range(60)}
+    for w in sorted(names):
+        for _ in range(3):
+            x = list(w)
+            for _ in range(rng.randrange(1, 3 + len(x) // 6)):
+                i = rng.randrange(1, len(x) + 1)
+                x[i : i + rng.randrange(2)] = rng.choice([[], ["a"], ["e", "b"]])
+            names.add("".join(x))
+    names |= {"k" * 45, "k" * 55}
+    counts = {w: 5 if i % 2 else 1 for i, w in enumerate(sorted(names - {""}))} | {"k" * 45: 5, "k" * 55: 1}
+    rows = spark.createDataFrame(list(counts.items()), "token_lower string, n long")
+    want = {(c, v) for c, n in counts.items() if n >= 3 for v, m in counts.items() if m <= 2 and c[0] == v[0] and 200 * lcs(c, v) >= 90 * (len(c) + len(v))}
+    got = lexical.name_drift(rows).collect()
+    assert {(r["canonical"], r["variant"]) for r in got} == want and ("k" * 45, "k" * 55) in want and len(got) == len(want)
+
+    def edits(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            last = row
+        return last[-1]
+
+    lex = sorted(w for w in names if w and counts.get(w) == 5)
+    unknown = sorted(w for w in names if w and counts.get(w) == 1)
+    best = {}
+    for u in unknown:
+        near = [(d, w) for w in lex if w[0] == u[0] and abs(len(w) - len(u)) <= 2 and 1 <= (d := edits(u, w)) <= 2]
+        if near:
+            best[u] = min(near)
+    out = lexical.suggestions(spark.createDataFrame([(u,) for u in unknown], "token_lower string"), spark.createDataFrame([(w, 1) for w in lex], "word string, n long")).collect()
+    assert {r["token_lower"]: (r["distance"], r["suggestion"]) for r in out} == best
+
+
+def test_a_line_of_closers_ends_no_sentence(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven.\n\u201d)"), (2, "one two three four five six seven eight nine ten eleven")], "doc_id long, text string")
+    assert [r["doc_id"] for r in structure.paragraph_no_terminal(lines(docs)).collect()] == [2]
+
+
+def test_chapter_files_decode(spark, tmp_path):
+    from manuscribe.sources import chapters as files
+
+    (tmp_path / "b" / "chapters").mkdir(parents=True)
+    (tmp_path / "b" / "chapters" / "chapter_002.txt").write_bytes(b"two \xff end")
+    (tmp_path / "b" / "chapters" / "chapter_001.txt").write_text("\u00e9t\u00e9\n", encoding="utf-8")
+    rows = lambda how: [(r["book"], r["chapter_name"], r["doc_id"], r["text"]) for r in files.chapters(spark, str(tmp_path), how).orderBy("doc_id").collect()]
+    assert rows("replace") == [("b", "chapter_001.txt", 0, "\u00e9t\u00e9\n"), ("b", "chapter_002.txt", 1, "two \ufffd end")]
+    assert rows("ignore")[1][3] == "two  end"
+    with pytest.raises(Exception, match="(?i)utf"):
+        rows("strict")
