@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat_format, decontam, embedding_dedup, license_scan, lm_score, minhash, packing, quality, token_count, warc
 
@@ -37,9 +38,10 @@ def op4_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-entropy difference of every document; the target is what is labelled good and not toxic."""
+    """Cross-entropy difference of every document, losses to 6 places; the target is what is labelled good and not toxic."""
     good = _table(spark, sf_dir, "labels").filter("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
-    return lm_score.score(_table(spark, sf_dir, "documents"), good)
+    out = lm_score.score(_table(spark, sf_dir, "documents"), good)
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("ce_target", "ce_background", "score")])
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +100,20 @@ ORACLE_SQL: dict[str, str] = {
         f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM d)
         SELECT page_id, b AS payload_bytes, d AS payload_digest, CASE WHEN b >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
         CASE WHEN b >= 100 AND page_id <> first THEN first END AS refers_to, regexp_replace(url, '[\\x00-\\x20]', '%20', 'g') AS target_uri FROM f""",
+    "op6_lm_score": """WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+            doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0) AS target FROM documents),
+        k AS (SELECT doc_id, target, unnest(w) AS word, unnest(list_prepend(NULL, w[1:len(w) - 1])) AS prev FROM w WHERE len(w) > 0),
+        ow AS (SELECT doc_id, word, count(*) AS n FROM k GROUP BY ALL), ob AS (SELECT doc_id, prev, word, count(*) AS n FROM k WHERE prev IS NOT NULL GROUP BY ALL),
+        cw AS (SELECT word, count(*) AS b, count_if(target) AS t FROM k GROUP BY ALL), cb AS (SELECT prev, word, count(*) AS b, count_if(target) AS t FROM k WHERE prev IS NOT NULL GROUP BY ALL),
+        s AS (SELECT count(*) AS v, sum(b) AS b, sum(t) AS t FROM cw), d AS (SELECT doc_id, len(w) AS n FROM w),
+        g AS (SELECT ob.doc_id, ob.prev, ob.word, ob.n AS ob, cb.b AS b, cb.t AS t FROM ob JOIN cb USING (prev, word)),
+        j AS (SELECT k.doc_id, k.prev, s.v, d.n, w1.b - o1.n AS wb, w1.t - CASE WHEN target THEN o1.n ELSE 0 END AS wt, w2.b - o2.n AS pb, w2.t - CASE WHEN target THEN o2.n ELSE 0 END AS pt,
+            g.b - g.ob AS gb, g.t - CASE WHEN target THEN g.ob ELSE 0 END AS gt, greatest(s.b - d.n, 1) AS nb, greatest(s.t - CASE WHEN target THEN d.n ELSE 0 END, 1) AS nt
+            FROM k JOIN d USING (doc_id) JOIN ow o1 ON o1.doc_id = k.doc_id AND o1.word = k.word JOIN cw w1 ON w1.word = k.word
+            LEFT JOIN ow o2 ON o2.doc_id = k.doc_id AND o2.word = k.prev LEFT JOIN cw w2 ON w2.word = k.prev LEFT JOIN g ON g.doc_id = k.doc_id AND g.prev = k.prev AND g.word = k.word CROSS JOIN s),
+        l AS (SELECT doc_id, avg(-ln(0.6::DOUBLE * CASE WHEN pt > 0 THEN gt::DOUBLE / pt ELSE wt::DOUBLE / nt END + 0.3::DOUBLE * (wt::DOUBLE / nt) + 0.1::DOUBLE / v)) AS t,
+            avg(-ln(0.6::DOUBLE * CASE WHEN pb > 0 THEN gb::DOUBLE / pb ELSE wb::DOUBLE / nb END + 0.3::DOUBLE * (wb::DOUBLE / nb) + 0.1::DOUBLE / v)) AS b FROM j GROUP BY doc_id)
+        SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_tokens, round(l.t, 6) AS ce_target, round(l.b, 6) AS ce_background, round(l.t - l.b, 6) AS score FROM d LEFT JOIN l USING (doc_id)""",
     "op5_minhash_near_dedup": f"""WITH RECURSIVE {_SETS}, r AS (SELECT doc_id AS n, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON r.n = l.a)
         SELECT n AS doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(c) AS component_id, n = min(c) AS kept FROM r JOIN s ON s.doc_id = n GROUP BY n""",
 }
