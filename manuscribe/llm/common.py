@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where a local session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/manuscribe"
 
-#: A side of a join is broadcast up to this many (id-sized) rows, and shuffled beyond.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast up to this many rows and bytes, and shuffled beyond.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 96 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session on one machine may do without; a cluster may not."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = LOCAL_CHECKPOINTS
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(where)
@@ -29,13 +38,21 @@ class Scratch:
     """Tables of one operator's run below the shared folder.
 
     Each is written once by Spark's committer and read back, so that a lost
-    executor costs a re-read, never the lineage before the table.
+    executor costs a re-read, never the lineage before the table. Results are
+    read from these tables, so the folder goes when the session's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/manuscribe-{name}-{uuid.uuid4().hex}"
         self._n = 0
+        fs, path = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, where: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def path(self, tag: str) -> str:
         self._n += 1
@@ -53,14 +70,24 @@ class Scratch:
         """Delete a table that nothing will read again."""
         path = getattr(df, "_stored_at", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = self._at(path)
+            fs.delete(p, True)
+
+
+def _bytes(c: Column, kind: DataType) -> Column:
+    """About what a value takes."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.size(c), F.lit(0)) * (8 if kind.elementType.typeName() in ("long", "double", "integer") else 32) + 16
+    return F.lit(16)
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows it is small; df itself (a shuffled join) if not."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows and bytes, counted, are few; df itself (a shuffled join) if not."""
+    each = sum((_bytes(F.col(f.name), f.dataType) for f in df.schema), F.lit(0))
+    n, size = df.select(each.alias("b")).limit(rows + 1).agg(F.count("*"), F.sum("b")).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= most_bytes else df
 
 
 def least_overlap(k: int, similarity: float, miss: float = 1e-8) -> int:
@@ -109,6 +136,59 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", m
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def groups_of(table: pa.Table, *names: str) -> Iterator[tuple[tuple, pa.Table]]:
+    """Parts of a table with equal values of the named long columns."""
+    table = table.sort_by([(n, "ascending") for n in names])
+    cols = [table[n].to_numpy() for n in names]
+    cut = np.zeros(len(table), bool)
+    cut[:1] = True
+    for c in cols:
+        cut[1:] |= c[1:] != c[:-1]
+    at = np.append(np.flatnonzero(cut), len(table))
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield tuple(c[lo] for c in cols), table.slice(lo, hi - lo)
+
+
+def joined(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one group's symmetric links: each row's pair with the smallest id that its links reach in the group."""
+    has = np.flatnonzero(linked.any(axis=1))
+    has = has[np.argsort(ids[has], kind="stable")]
+    near = linked[np.ix_(has, has)]
+    label = np.arange(len(has))
+    while len(has):
+        new = np.minimum(label, np.where(near, label[None, :], len(has)).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    rest = np.flatnonzero(label != np.arange(len(has)))
+    return ids[has[rest]], ids[has[label[rest]]]
+
+
+def trimmed(run: Callable) -> Callable:
+    """An Arrow function whose worker hands memory back to the system after each batch it gives out, as idle workers keep it else."""
+
+    def wrapped(batches):
+        for out in run(batches):
+            yield out
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def crc_of_id(c: Column) -> Column:
     """crc32 of an id's decimal text."""
     return F.crc32(c.cast("string"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, components
+from .common import Scratch, components, groups_of, joined
 
 EDGES = "u long, v long, sim double"
 #: Rows handed to Python in one group, about; vectors of a block.
@@ -66,19 +66,6 @@ def _unit(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _groups(table: pa.Table, *names: str) -> Iterator[tuple[tuple, pa.Table]]:
-    """Parts of a table with equal values of the named long columns."""
-    table = table.sort_by([(n, "ascending") for n in names])
-    cols = [table[n].to_numpy() for n in names]
-    cut = np.zeros(len(table), bool)
-    cut[:1] = True
-    for c in cols:
-        cut[1:] |= c[1:] != c[:-1]
-    at = np.append(np.flatnonzero(cut), len(table))
-    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        yield tuple(c[lo] for c in cols), table.slice(lo, hi - lo)
-
-
 def _codes(kind, dim_seed: int, tables: int, depth: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,26 +82,16 @@ def _codes(kind, dim_seed: int, tables: int, depth: int) -> Callable:
     return run
 
 
-def _joined(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one group's symmetric links: each row's pair with the smallest id that its links reach in the group, without a similarity."""
-    has = np.flatnonzero(linked.any(axis=1))
-    has = has[np.argsort(ids[has], kind="stable")]
-    near = linked[np.ix_(has, has)]
-    label = np.arange(len(has))
-    while len(has):
-        new = np.minimum(label, np.where(near, label[None, :], len(has)).min(axis=1))
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    rest = np.flatnonzero(label != np.arange(len(has)))
-    return ids[has[rest]], ids[has[label[rest]]], np.full(len(rest), np.nan)
+def _reached(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """joined(), without a similarity."""
+    a, b = joined(ids, linked)
+    return a, b, np.full(len(a), np.nan)
 
 
 def _best(ids: np.ndarray, sims: np.ndarray, k: int, threshold: float, floor: np.ndarray, outer: np.ndarray, comp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of one group's similarity matrix: each row's k best partners over `floor`, its k best of other components over `outer`, and what links join."""
     np.fill_diagonal(sims, -2)
-    out = [_joined(ids, sims >= threshold)]
+    out = [_reached(ids, sims >= threshold)]
     top = min(k, len(ids) - 1)
     same = comp[:, None] == comp[None, :]
     apart = len(np.unique(comp)) == len(comp)
@@ -161,7 +138,9 @@ def near_duplicates(
     with null or non-finite components link with nothing, nor do vectors of
     different lengths with each other. Repeated ids with equal vectors count as
     vectors of their own in n_links. A null id is never compared: 0 links, null
-    component, kept. Further columns are ignored.
+    component, kept. Vectors at exactly the threshold are linked; of neighbours
+    of equal cosine lists keep the smaller id, which changes no result. An empty
+    table gives an empty result. Further columns are ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nndescent")
@@ -177,7 +156,7 @@ def near_duplicates(
     depth = max(0, math.ceil(math.log2(max(1, n / (BLOCK // 2)))))
     def start(table: pa.Table) -> pa.Table:
         parts = []
-        for _, g in _groups(table, "block"):
+        for _, g in groups_of(table, "block"):
             ids, m = g["id"].to_numpy(), _unit(g["v"], kind)
             if len(ids) > 1:
                 low = np.full(len(ids), -2.0)
@@ -215,7 +194,7 @@ def near_duplicates(
                 linked = np.zeros((len(ids), len(ids)), bool)
                 p, q = np.searchsorted(ids, d[a][x]), np.searchsorted(ids, d[b][y])
                 linked[np.ix_(p, q)] |= hit[np.ix_(x, y)]
-                parts.append(_joined(ids, linked | linked.T))
+                parts.append(_reached(ids, linked | linked.T))
             return _edges(parts)
 
         return dealt.groupBy("bi", "bj").applyInArrow(compare, EDGES).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
@@ -228,7 +207,7 @@ def near_duplicates(
 
     def descend(table: pa.Table) -> pa.Table:
         parts = []
-        for _, g in _groups(table, "center", "salt"):
+        for _, g in groups_of(table, "center", "salt"):
             ids, at = np.unique(g["member"].to_numpy(), return_index=True)
             if len(ids) > 1:
                 m = _unit(g["v"].take(pa.array(at)), kind)
@@ -311,7 +290,7 @@ def near_duplicates(
 
     def enlarge(table: pa.Table) -> pa.Table:
         ids, links = [], []
-        for (_, bi, bj), g in _groups(table, "comp", "bi", "bj"):
+        for (_, bi, bj), g in groups_of(table, "comp", "bi", "bj"):
             i, d, cnt, m = g["i"].to_numpy(), g["id"].to_numpy(), g["cnt"].to_numpy(), _unit(g["v"], kind)
             a, b = np.flatnonzero(i == bi), np.flatnonzero(i == bj)
             hit = (m[a] @ m[b].T) >= threshold
