@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .textarrays import EXACT, chunks, hashes, mix, running, spans
 
 BUCKETS, DIM = 1 << 17, 10
@@ -127,19 +128,8 @@ def held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def score(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, per_class: int = 1500
-) -> DataFrame:
-    """id_col, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= threshold, else 0).
-
-    Learns from at most `per_class` labelled, not held out rows of each class,
-    chosen by a hash of the id; the classes' shares come from all of them. Null
-    labels and labels other than 0 and 1 teach nothing; an id labelled both
-    ways counts in both. Null and empty texts get the score of no features;
-    null ids are scored and not held out. Without labels of both classes every
-    score is their share of ones (0.5 without any). Only the text enters a score.
-    """
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[np.ndarray, float]:
+    """The weights and bias learned from at most `per_class` labelled, not held out rows of each class."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)").filter(~held_out("id"))
     share = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = share.get(1, 0), share.get(0, 0)
@@ -150,31 +140,61 @@ def score(
     got = text.join(taught, text.id == taught.taught).select("label", "text", "id").orderBy("id", "label", "text").select("label", "text")
     got = got.mapInArrow(_histograms, "label int, buckets array<int>, counts array<float>").toArrow()
     col = lambda name: [x.values.to_numpy() for x in got[name].combine_chunks()] if len(got) else []
-    weights, bias = train(got["label"].to_numpy().astype(np.int64), col("buckets"), col("counts"), prior)
-    model = spark.sparkContext.broadcast((weights, bias))
+    return train(got["label"].to_numpy().astype(np.int64), col("buckets"), col("counts"), prior)
+
+
+def scores(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The score of every text of a string column."""
+    out = [np.zeros(0)]
+    for bounds, inv, pair, bucket, owner in _features(column):
+        m = int(inv.max()) + 1 if len(inv) else 0
+        own, n = np.bincount(owner, weights[bucket], m), np.bincount(owner, minlength=m)
+        two = pair >= 0
+        total = np.concatenate([[0.0], np.cumsum(own[inv] + np.where(two, weights[pair], 0))])
+        many = np.concatenate([[0], np.cumsum(n[inv] + two)])
+        s, c = total[bounds[1:]] - total[bounds[:-1]], many[bounds[1:]] - many[bounds[:-1]]
+        out.append(1 / (1 + np.exp(-(s / np.maximum(c, 1) + bias))))
+    return np.concatenate(out)
+
+
+def score(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, per_class: int = 1500
+) -> DataFrame:
+    """id_col, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= threshold, else 0).
+
+    Learns from at most `per_class` labelled, not held out rows of each class,
+    chosen by a hash of the id; the classes' shares come from all of them. Null
+    labels and labels other than 0 and 1 teach nothing; an id labelled both
+    ways counts in both; rows that repeat an id teach once each. Null and empty
+    texts get the score of no features, very long ones are scored whole, and
+    repeated rows alike; null ids are scored and not held out. Without labels of
+    both classes every score is their share of ones (0.5 without any). An empty
+    table gives an empty result. Only the text enters a score; further columns
+    are ignored.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = model.value
         for batch in batches:
-            out = [np.zeros(0)]
-            for bounds, inv, pair, bucket, owner in _features(batch.column(1)):
-                m = int(inv.max()) + 1 if len(inv) else 0
-                own, n = np.bincount(owner, weights[bucket], m), np.bincount(owner, minlength=m)
-                two = pair >= 0
-                total = np.concatenate([[0.0], np.cumsum(own[inv] + np.where(two, weights[pair], 0))])
-                many = np.concatenate([[0], np.cumsum(n[inv] + two)])
-                s, c = total[bounds[1:]] - total[bounds[:-1]], many[bounds[1:]] - many[bounds[:-1]]
-                out.append(1 / (1 + np.exp(-(s / np.maximum(c, 1) + bias))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], ["id", "score"])
-
-    out = text.mapInArrow(run, "id long, score double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), *model.value))], ["id", "score"])
+
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = text.mapInArrow(trimmed(run), "id long, score double")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows predicted 0; all columns kept.
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, per_class: int = 1500) -> DataFrame:
+    """docs without the rows predicted 0; all columns kept, whatever their names.
 
-    Decided per id: of rows that repeat an id, all go if the worst of them is rejected.
+    Each row is decided by its own text, whatever its id, so null ids are
+    filtered like others and repeated rows go or stay together. Null, empty and
+    very long texts and missing labels as in score(); an empty table stays empty.
     """
-    bad = score(docs, labels, id_col, text_col, **options).filter("predicted = 0").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, per_class))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at), *model.value) >= threshold))
+
+    return docs.mapInArrow(trimmed(run), docs.schema)

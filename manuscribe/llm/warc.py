@@ -155,6 +155,9 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
 
     id_col, payload_bytes, payload_digest (both of the full payload), record_type,
     refers_to (the response's id for revisits), target_uri: a row per page.
+    Null payloads are empty; a null url is named after the id; payloads of any length are
+    stored and read whole; of equal payloads the smallest id answers. An empty
+    table gives an empty result; further columns are ignored.
     """
     spark = pages.sparkSession
     path = path or Scratch(spark, "warc").path("archives")
