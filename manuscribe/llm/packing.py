@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .bpe import Pairs, ranges
-from .common import Scratch
+from .common import Scratch, trimmed
 from .textarrays import FOLDED, chunks, hashes, mix, running, spans, words
 
 K1, B = 1.2, 0.75
@@ -360,4 +360,4 @@ def pack(
 
     order = ["key", F.xxhash64("id", "text")]
     dealt = placed.repartitionByRange(1 + size // TASK_WORDS, *order).sortWithinPartitions(*order).select("id", "text")
-    return dealt.mapInArrow(run, PIECES).withColumnRenamed("doc_id", id_col)
+    return dealt.mapInArrow(trimmed(run), PIECES).withColumnRenamed("doc_id", id_col)

@@ -55,8 +55,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items in every document."""
-    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    """Benchmark items in every document, similarities to 6 places."""
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumn("similarity", F.round("similarity", 6))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,8 @@ QUERIES = {
         op10_token_counts,
     )
 }
+_TEMPLATES = ", ".join(f"({i}, '{name}', '" + text.replace("'", "''") + "')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+_LETTERS = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _SETS = """w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
     s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
     u AS (SELECT doc_id, unnest(s) AS x FROM s),
@@ -116,4 +118,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_tokens, round(l.t, 6) AS ce_target, round(l.b, 6) AS ce_background, round(l.t - l.b, 6) AS score FROM d LEFT JOIN l USING (doc_id)""",
     "op5_minhash_near_dedup": f"""WITH RECURSIVE {_SETS}, r AS (SELECT doc_id AS n, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON r.n = l.a)
         SELECT n AS doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(c) AS component_id, n = min(c) AS kept FROM r JOIN s ON s.doc_id = n GROUP BY n""",
+    # every window that starts at a multiple of a template's length, by exact containment
+    "op8_license_scan": rf"""WITH t(template_id, license, text) AS (VALUES {_TEMPLATES}), tw AS (SELECT template_id, license, {_LETTERS.format("text")} AS w FROM t), tl AS (SELECT *, len(w) AS len, least(len(w), 5) AS n FROM tw WHERE len(w) > 0),
+        tg AS MATERIALIZED (SELECT DISTINCT template_id, len, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len - n + 2)) AS i FROM tl)), ts AS (SELECT template_id, count(*) AS size FROM tg GROUP BY 1),
+        d AS (SELECT doc_id, n, {_LETTERS.format("text")} AS w FROM documents, (SELECT DISTINCT n FROM tl)), dg AS (SELECT doc_id, n, i - 1 AS pos, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM d)),
+        h AS (SELECT doc_id, template_id, len, n, pos, g, unnest([pos // len * len, pos // len * len - len]) AS s FROM dg JOIN tg USING (n, g)),
+        c AS (SELECT doc_id, template_id, s, count(DISTINCT g) AS held, min(pos) AS at_word FROM h WHERE s >= 0 AND pos + n <= s + 2 * len GROUP BY ALL),
+        f AS (SELECT c.*, held::DOUBLE / size AS containment FROM c JOIN ts USING (template_id) WHERE held::DOUBLE / size >= 0.8 - 1e-9), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template_id ORDER BY containment DESC, s) AS k FROM f)
+        SELECT doc_id, license, template_id, CAST(at_word AS BIGINT) AS start_word, containment FROM b JOIN t USING (template_id) WHERE k = 1""",
+    # every window of the texts that hold enough of an item's weight at all
+    "op9_decontamination": rf"""WITH i AS (SELECT item_id, {_LETTERS.format("text")} AS w FROM benchmark), il AS (SELECT *, len(w) AS len, least(len(w), 5) AS n FROM i WHERE len(w) > 0),
+        ig AS (SELECT item_id, len, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len - n + 2)) AS k FROM il)), ic AS MATERIALIZED (SELECT item_id, len, n, g, count(*) AS c FROM ig GROUP BY ALL),
+        wt AS MATERIALIZED (SELECT n, g, 1.0::DOUBLE / count(*) AS w FROM ic GROUP BY ALL), it AS (SELECT item_id, len, n, sum(c * w) AS total FROM ic JOIN wt USING (n, g) GROUP BY ALL),
+        d AS (SELECT doc_id, n, {_LETTERS.format("text")} AS w FROM documents, (SELECT DISTINCT n FROM il)), dg AS MATERIALIZED (SELECT doc_id, n, len(w) AS size, k - 1 AS pos, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM d)),
+        r AS (SELECT h.doc_id, it.item_id, it.len, it.n, it.total FROM (SELECT DISTINCT doc_id, n, g FROM dg) h JOIN ic USING (n, g) JOIN wt USING (n, g) JOIN it USING (item_id) GROUP BY ALL HAVING sum(c * w) >= 0.8 * it.total - 1e-9),
+        x AS (SELECT r.doc_id, r.item_id, r.n, r.len, r.total, g, size, unnest(range(greatest(pos - (len - r.n), 0), pos + 1)) AS s FROM r JOIN dg USING (doc_id, n)),
+        v AS (SELECT doc_id, item_id, n, len, total, s, g, count(*) AS c FROM x GROUP BY ALL),
+        q AS (SELECT v.doc_id, v.item_id, v.len, v.total, v.s, sum(least(v.c, coalesce(ic.c, 0)) * coalesce(w, 1)) AS held, sum(v.c * coalesce(w, 1)) AS mine FROM v LEFT JOIN wt ON wt.n = v.n AND wt.g = v.g LEFT JOIN ic ON ic.item_id = v.item_id AND ic.g = v.g GROUP BY ALL),
+        f AS (SELECT *, held / (mine + total - held) AS similarity FROM q WHERE held / (mine + total - held) >= 0.8 - 1e-9), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(similarity, 9) DESC, s) AS k FROM f)
+        SELECT doc_id, item_id, CAST(s AS BIGINT) AS start_word, CAST(len AS BIGINT) AS n_words, round(similarity, 6) AS similarity FROM b WHERE k = 1""",
 }
