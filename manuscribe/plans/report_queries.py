@@ -284,7 +284,7 @@ _STATUS = [("01", 0, "✅ fine"), ("02", 0, "⚠️ three issues"), ("03", 1, "
 _STATUS_SQL = f"s(step, rc, line) AS (VALUES {_sql_rows(_STATUS)}), i AS (SELECT step, rc, CASE WHEN rc <> 0 OR line LIKE '❌%' THEN '❌' WHEN line LIKE '⚠%' THEN '⚠️' WHEN line LIKE '✅%' THEN '✅' WHEN line LIKE 'ℹ%' THEN 'ℹ️' ELSE '' END AS icon FROM s)"
 
 
-@_query(f"WITH {_STATUS_SQL} SELECT count(*) AS steps, count_if(icon = '❌') AS failed, count_if(icon = '⚠️') AS warnings, NOT coalesce(bool_or(rc <> 0 OR (step <> '02' AND icon IN ('❌', '⚠️'))), false) AS clean FROM i")
+@_query(f"WITH {_STATUS_SQL} SELECT count(*) AS steps, CAST(count_if(icon = '❌') AS BIGINT) AS failed, CAST(count_if(icon = '⚠️') AS BIGINT) AS warnings, NOT coalesce(bool_or(rc <> 0 OR (step <> '02' AND icon IN ('❌', '⚠️'))), false) AS clean FROM i")
 def gate_counts(spark, sf_dir):
     """Steps, failures and warnings of a run, and whether it is clean."""
     return runs.gate(lexical.table(spark, _STATUS, ("step", "rc", "line")), ["02"])
