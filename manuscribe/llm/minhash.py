@@ -14,8 +14,10 @@ family, so that a group of copies is in few families.
 In a short family, every member first meets the smallest one of its lists, then
 those of other components in its lists. A long family is never expanded into
 pairs. A member whose sketch shares too few values with the rest of the family has
-no partner there and is set aside. Its core, the shingles that most of a few members hold, turns each set
-into its difference from the core. Of sets A and B with differences D and E,
+no partner there and is set aside. Frequent values bring unrelated texts into one
+family, so the others are parted into kin: what is reached by sketches that share enough.
+Few kin are just expanded. The core of many kin, the shingles that most of a few of
+them hold, turns each set into its difference from the core. Of sets A and B with differences D and E,
 the symmetric difference has |D| + |E| - 2 |D & E| shingles, so that
 
     A and B are linked  <=>  q(A) + q(B) <= 2 (den + num) |D & E|,
@@ -121,6 +123,92 @@ def _links(scratch: Scratch, texts: DataFrame, sketches: DataFrame, pairs: DataF
     return links
 
 
+def _overlaps(lists: pa.ChunkedArray) -> np.ndarray:
+    """How many values every two of the lists share."""
+    lists = lists.combine_chunks()
+    n, size = len(lists), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    value, col, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    seat = np.cumsum(often > 1) - 1  # what one member holds nobody shares
+    held = often[col] > 1
+    row, col = row[held], seat[col[held]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    width = int((often > 1).sum())
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, width, COLUMNS):
+        x, y = np.searchsorted(col, [lo, lo + COLUMNS])
+        m = np.zeros((n, min(COLUMNS, width - lo)), np.float32)
+        m[row[x:y], col[x:y] - lo] = 1
+        both += m @ m.T
+    return both
+
+
+def _asked(table: pa.Table) -> pa.Table:
+    """Of dealt blocks (fam, e, bi, bj, role, id, need, v), where who asks (role 1 or 3) meets who is asked (2 or 3): each id and the smallest it reaches by pairs that share as many values as both need."""
+    ones, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _, g in groups_of(table, "fam", "e", "bi", "bj"):
+        ids, need, role = (g[c].to_numpy() for c in ("id", "need", "role"))
+        asks, asked = role & 1 > 0, role & 2 > 0
+        hit = (_overlaps(g["v"]) >= np.maximum(need[:, None], need[None, :])) & (ids[:, None] != ids[None, :])
+        a, b = joined(ids, hit & ((asks[:, None] & asked[None, :]) | (asked[:, None] & asks[None, :])))
+        ones.append(a)
+        others.append(b)
+    return pa.table({"a": np.concatenate(ones), "b": np.concatenate(others)})
+
+
+def _placed(scratch: Scratch, listed: DataFrame) -> DataFrame:
+    """(fam, id, e): where members listed as (fam, e, id) meet; a family of few blocks is cheaper compared as a whole, under 0, than once for each value."""
+    whole = listed.groupBy("fam", "id").agg(F.count("*").alias("times")).groupBy("fam").agg(F.count("*").alias("left"), F.sum("times").alias("times"))
+    whole = whole.withColumn("at_once", F.ceil(F.col("left") / BLOCK) * F.col("left") <= F.col("times"))
+    e = F.when(F.col("at_once"), F.lit(0).cast("long")).otherwise(F.col("e"))
+    return scratch.keep(listed.join(whole.select("fam", "at_once"), "fam").select("fam", "id", e.alias("e")).distinct(), "placed")
+
+
+def _kin(scratch: Scratch, able: DataFrame) -> DataFrame:
+    """(fam, id) by kin: what long families' members (fam, id, need, v: sketch values shared in the family, rare ones first) reach by sketches that share enough.
+
+    A linked pair shares as many values as both need. In a family beyond a
+    block it meets under one of the rarest values. All ask the first block of
+    those they meet; who is not of the commonest kin then asks the others. So a
+    group of like texts is not compared pair by pair, nor are texts that only
+    share frequent values.
+    """
+    zero = F.lit(0).cast("long")
+    sized = able.join(able.groupBy("fam").agg(F.count("*").alias("left")), "fam")
+    each = sized.filter(F.col("left") > BLOCK).select("fam", "id", F.explode(F.slice("v", F.lit(1), F.size("v") - F.col("need") + 1)).alias("e"))
+    shared = each.groupBy("fam", "e").agg(F.count("*").alias("c")).filter("c > 1").select("fam", "e")
+    placed = _placed(scratch, scratch.keep(each.join(shared, ["fam", "e"], "left_semi"), "values-listed"))
+    placed = placed.unionByName(sized.filter(F.col("left") <= BLOCK).select("fam", "id", zero.alias("e")))
+    size = placed.groupBy("fam", "e").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    placed = scratch.keep(placed.join(size, ["fam", "e"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("chunks"))), "dealt")
+
+    def ask(dealt: DataFrame, tag: str) -> DataFrame:
+        dealt = dealt.select("fam", "e", "bi", "bj", "role", "id").join(able, ["fam", "id"])
+        total = dealt.agg(F.sum(F.size("v") + 8)).first()[0] or 0
+        dealt = dealt.withColumn("g", F.pmod(F.xxhash64("fam", "e", "bi", "bj"), F.lit(1 + total * 4 // GROUP_SHINGLES)))
+        return scratch.keep(dealt.groupBy("g").applyInArrow(_asked, "a long, b long").distinct(), tag)
+
+    first, rest = F.col("i") == 0, F.sequence(F.lit(1).cast("long"), F.col("chunks") - 1)
+    own = placed.select("fam", "e", F.col("i").alias("bi"), zero.alias("bj"), F.when(first, 3).otherwise(1).alias("role"), "id")
+    lent = placed.filter(first & (F.col("chunks") > 1)).select("fam", "e", F.explode(rest).alias("bi"), zero.alias("bj"), F.lit(2).alias("role"), "id")
+    found = ask(own.unionByName(lent), "kin-at-first")
+    kin = components(scratch, found)
+    more = placed.filter("chunks > 1").join(kin.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    more = scratch.keep(more, "long-lists")
+    top = more.groupBy("fam", "e", "comp").agg(F.count("*").alias("c")).groupBy("fam", "e").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
+    left = more.join(top, ["fam", "e"]).filter("comp <> top").select("fam", "e", "id", "chunks")
+    size = left.groupBy("fam", "e").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    left = scratch.keep(left.join(size, ["fam", "e"]).withColumn("bi", F.pmod(F.xxhash64("id"), F.col("parts"))), "asking-on")
+    asking = left.select("fam", "e", "bi", F.explode(rest).alias("bj"), F.lit(1).alias("role"), "id")
+    lent = more.filter("i > 0").join(left.select("fam", "e", "parts").distinct(), ["fam", "e"])
+    lent = lent.select("fam", "e", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("bi"), F.col("i").alias("bj"), F.lit(2).alias("role"), "id")
+    later = ask(asking.unionByName(lent), "kin-later")
+    if later.limit(1).count():
+        kin = components(scratch, found.unionByName(later))
+    return kin.select(F.col("comp").alias("fam"), F.col("node").alias("id"))
+
+
 def _compare(num: int, den: int):
     """Of dealt blocks (fam, e, bi, bj, i, id, comp, q, d): (a, b) of each id and the smallest id that its links reach in its block."""
 
@@ -128,22 +216,7 @@ def _compare(num: int, den: int):
         ones, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for (_, _, bi, bj), g in groups_of(table, "fam", "e", "bi", "bj"):
             ids, comp, q = (g[c].to_numpy() for c in ("id", "comp", "q"))
-            lists = g["d"].combine_chunks()
-            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            value, col, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-            row = np.repeat(np.arange(len(ids)), size)
-            seat = np.cumsum(often > 1) - 1  # what one member holds nobody shares
-            held = often[col] > 1
-            row, col = row[held], seat[col[held]]
-            order = np.argsort(col, kind="stable")
-            row, col = row[order], col[order]
-            width = int((often > 1).sum())
-            both = np.zeros((len(ids), len(ids)), np.float32)
-            for lo in range(0, width, COLUMNS):
-                x, y = np.searchsorted(col, [lo, lo + COLUMNS])
-                m = np.zeros((len(ids), min(COLUMNS, width - lo)), np.float32)
-                m[row[x:y], col[x:y] - lo] = 1
-                both += m @ m.T
+            both = _overlaps(g["d"])
             i = g["i"].to_numpy()
             hit = (q[:, None] + q[None, :] <= 2 * (den + num) * both.astype(np.int64)) & (comp[:, None] != comp[None, :])
             hit &= ((i == bi)[:, None] & (i == bj)[None, :]) | ((i == bj)[:, None] & (i == bi)[None, :])
@@ -199,11 +272,7 @@ def _further_links(scratch: Scratch, members: DataFrame, sketches: DataFrame, co
     lists = listed.groupBy("fam", "e").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("fam", "e", "c")
     lists = scratch.keep(lists, "difference-lists")
     listed = scratch.keep(listed.join(lists.select("fam", "e"), ["fam", "e"], "left_semi").select("fam", "e", "id"), "listed-by-difference")
-    # a family of few blocks is cheaper compared as a whole than once for each listed difference
-    whole = listed.groupBy("fam", "id").agg(F.count("*").alias("times")).groupBy("fam").agg(F.count("*").alias("left"), F.sum("times").alias("times"))
-    whole = whole.withColumn("at_once", F.ceil(F.col("left") / BLOCK) * F.col("left") <= F.col("times"))
-    e = F.when(F.col("at_once"), F.lit(0).cast("long")).otherwise(F.col("e"))
-    placed = scratch.keep(listed.join(whole.select("fam", "at_once"), "fam").select("fam", "id", e.alias("e")).distinct(), "placed")
+    placed = _placed(scratch, listed)
     size = placed.groupBy("fam", "e").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
     dealt = placed.join(size, ["fam", "e"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("chunks"))).join(mixed.select("fam", "id", "comp", "q", "d"), ["fam", "id"])
     total = dealt.agg(F.sum(F.col("chunks") * (F.size("d") + 8))).first()[0] or 0
@@ -269,14 +338,17 @@ def near_duplicates(
     short = lists.join(checked_broadcast(long.select("fam")), "fam", "left_anti")
 
     stars = short.filter((F.col("id") != F.col("lead")) & near("n", "lead_n")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = _links(scratch, texts, reps, stars, words, num, den, k, least)
     # who has a partner shares enough of its sketch with others of its family
     needing = reps.select("id", need.alias("need"), "sketch")
     held = members.join(checked_broadcast(long), "fam").select("fam", "id").join(needing, "id").select("fam", "id", "need", F.explode("sketch").alias("v"))
-    shared = held.groupBy("fam", "v").agg(F.count("*").alias("c")).filter("c > 1").select("fam", "v")
-    able = held.join(shared, ["fam", "v"], "left_semi").groupBy("fam", "id", "need").agg(F.count("*").alias("c")).filter("c >= need").select("fam", "id").distinct()
-    able = scratch.keep(able, "able")
-    differing, to_pivot = _pivot_links(scratch, texts, able.join(able.groupBy("fam").agg(F.count("*").alias("members")), "fam"), words, num, den)
+    shared = held.groupBy("fam", "v").agg(F.count("*").alias("c")).filter("c > 1")
+    able = held.join(shared, ["fam", "v"]).groupBy("fam", "id", "need").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("v")).filter(F.size("v") >= F.col("need"))
+    kin = _kin(scratch, scratch.keep(able.withColumn("v", F.col("v.v")), "able"))
+    kin = scratch.keep(kin.join(kin.groupBy("fam").agg(F.count("*").alias("members")), "fam"), "kin")
+    few = kin.filter(F.col("members") <= SHORT_FAMILY)
+    pairs = few.select("fam", F.col("id").alias("a")).join(few.select("fam", F.col("id").alias("b")), "fam").filter("a < b").select("a", "b")
+    links = _links(scratch, texts, reps, stars.unionByName(pairs).distinct(), words, num, den, k, least)
+    differing, to_pivot = _pivot_links(scratch, texts, kin.filter(F.col("members") > SHORT_FAMILY), words, num, den)
     comp = components(scratch, links.unionByName(to_pivot))
 
     now = short.join(comp.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))

@@ -237,3 +237,27 @@ def test_decontamination_over_every_window(spark):
     assert len(want) > 20
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
     assert got == want
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_unrelated_members_of_a_family_are_parted(spark, monkeypatch, block):
+    """Pairs that only two common values bring into one family are kin by themselves; one that shares too few has none."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = [(1, 10 * p + i, 8, [p * 100 + j for j in range(9)] + [1, 2]) for p in range(1, 6) for i in (0, 1)] + [(1, 99, 8, [100, 101, 200, 201, 300, 301, 1, 2])]
+    able = spark.createDataFrame(rows, "fam long, id long, need int, v array<long>")
+    got = minhash._kin(minhash.Scratch(spark, "kin"), able).collect()
+    assert {(r["fam"], r["id"]) for r in got} == {(10 * p, 10 * p + i) for p in range(1, 6) for i in (0, 1)}
+
+
+def test_a_large_group_with_enough_links(spark, monkeypatch):
+    """Near copies of one text, most of them kin, against all pairs, in small blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(4)
+    base, texts = prose(rng, 160), []
+    for _ in range(150):
+        rate = rng.uniform(0.01, 0.06)
+        texts.append(" ".join(rng.choice(WORDS) if rng.random() < rate else w for w in base))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    comp, links = brute_components({i: shingles(t.split(), 3) for i, t in enumerate(texts)}, 85, 100)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, words=3, similarity=(85, 100)).collect()}
+    assert links > 20 and got == comp
