@@ -176,15 +176,20 @@ def joined(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ids[has[rest]], ids[has[label[rest]]]
 
 
+def hand_back() -> None:
+    """Return freed memory to the system, as idle workers keep it else."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(run: Callable) -> Callable:
-    """An Arrow function whose worker hands memory back to the system after each batch it gives out, as idle workers keep it else."""
+    """An Arrow function whose worker hands memory back after each batch it gives out."""
 
     def wrapped(batches):
         for out in run(batches):
             yield out
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            hand_back()
 
     return wrapped
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import hand_back, trimmed
 from .textarrays import EXACT, chunks, hashes, mix, running, spans
 
 BUCKETS, DIM = 1 << 17, 10
@@ -72,10 +72,10 @@ def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, buckets, counts) of labelled texts."""
+    """(at, label, buckets, counts) of labelled texts (at, label, text)."""
     for batch in batches:
         rows, buckets, counts = 0, [], []
-        for bounds, inv, pair, bucket, owner in _features(batch.column(1)):
+        for bounds, inv, pair, bucket, owner in _features(batch.column(2)):
             order = np.argsort(owner, kind="stable")
             bucket = bucket[order]
             n = np.bincount(owner, minlength=int(inv.max()) + 1 if len(inv) else 0)
@@ -89,7 +89,7 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 buckets.append(b.astype(np.int32))
                 counts.append(c.astype(np.float32))
                 rows += 1
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], ["label", "buckets", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], ["at", "label", "buckets", "counts"])
 
 
 def train(labels: np.ndarray, buckets: list[np.ndarray], counts: list[np.ndarray], prior: float, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -123,6 +123,21 @@ def train(labels: np.ndarray, buckets: list[np.ndarray], counts: list[np.ndarray
     return (e @ (w[:, 1] - w[:, 0])).astype(np.float32), bias + float(np.log(prior / (1 - prior)))
 
 
+def _trained(prior: float):
+    """The model of the histograms, trained by a worker in the order of `at`: the sample is bounded, but it would stay in the driver's memory."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        col = lambda name: [x.values.to_numpy() for x in table[name].combine_chunks()]
+        weights, bias = train(table["label"].to_numpy().astype(np.int64), col("buckets"), col("counts"), prior)
+        out = pa.table({"weights": pa.array([weights.tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
+        del table
+        hand_back()
+        return out
+
+    return run
+
+
 def held_out(id_col: str):
     """Rows that no label is learned from: crc32 of the id's text, modulo 4, is 2."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
@@ -137,10 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     some = [known.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     taught = F.broadcast(some[0].unionByName(some[1]).withColumnRenamed("id", "taught"))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    got = text.join(taught, text.id == taught.taught).select("label", "text", "id").orderBy("id", "label", "text").select("label", "text")
-    got = got.mapInArrow(_histograms, "label int, buckets array<int>, counts array<float>").toArrow()
-    col = lambda name: [x.values.to_numpy() for x in got[name].combine_chunks()] if len(got) else []
-    return train(got["label"].to_numpy().astype(np.int64), col("buckets"), col("counts"), prior)
+    got = text.join(taught, text.id == taught.taught).select("label", "text", "id").orderBy("id", "label", "text").select(F.monotonically_increasing_id().alias("at"), "label", "text")
+    got = got.mapInArrow(trimmed(_histograms), "at long, label int, buckets array<int>, counts array<float>").withColumn("g", F.lit(0))
+    model = got.groupBy("g").applyInArrow(_trained(prior), "weights binary, bias double").first()
+    return (np.frombuffer(model["weights"], np.float32), model["bias"]) if model else train(np.zeros(0, np.int64), [], [], prior)
 
 
 def scores(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:

@@ -2,11 +2,14 @@
 
 import itertools
 import math
+import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +264,26 @@ def test_a_large_group_with_enough_links(spark, monkeypatch):
     comp, links = brute_components({i: shingles(t.split(), 3) for i, t in enumerate(texts)}, 85, 100)
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, words=3, similarity=(85, 100)).collect()}
     assert links > 20 and got == comp
+
+
+def test_the_quality_model_is_trained_by_a_worker(spark, monkeypatch):
+    """Neither the sample nor the training is in the driver; the model is that of the rows in order of their ids."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(prose(rng, 20) + (["good"] * 3 if i % 2 else ["bad"] * 3)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    taught = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    sample = pa.RecordBatch.from_arrays([pa.array([r[0] for r in taught]), pa.array([r[2] for r in taught], pa.int32()), pa.array([r[1] for r in taught])], ["at", "label", "text"])
+    (h,) = quality._histograms(iter([sample]))
+    y = np.array([r[2] for r in taught])
+    weights, bias = quality.train(y, [x.values.to_numpy() for x in h["buckets"]], [x.values.to_numpy() for x in h["counts"]], float(y.mean()))
+
+    here, train = os.getpid(), quality.train
+
+    def elsewhere(*given):
+        assert os.getpid() != here, "trained in the driver"
+        return train(*given)
+
+    monkeypatch.setattr(quality, "train", elsewhere)
+    got = quality.fit(docs, labels, "doc_id", "text", "quality", 1500)
+    assert (got[0] == weights).all() and got[1] == bias
