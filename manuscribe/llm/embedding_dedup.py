@@ -26,17 +26,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, components, groups_of, joined
+from .common import Scratch, checked_broadcast, components, groups_of, joined
 
 EDGES = "u long, v long, sim double"
 #: Rows handed to Python in one group, about; vectors of a block.
 GROUP_ROWS, BLOCK = 20_000, 512
-#: Vectors of a block where all are compared with all.
-ALL_ROWS = 2048
+#: Vectors of a block where all are compared with all; similarities around centres that are held at once.
+ALL_ROWS, CELLS = 2048, 250_000
 
 
 def _clean(double: bool) -> Callable:
@@ -105,6 +106,25 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int, threshold: float, floor: np
     return out
 
 
+def _best_of_each(ids: np.ndarray, sims: np.ndarray, k: int, threshold: float, floor: np.ndarray, outer: np.ndarray, comp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """_best() of many groups of one size: every argument has a first axis more, that of the groups."""
+    size = ids.shape[1]
+    sims[:, np.arange(size), np.arange(size)] = -2
+    linked = sims >= threshold
+    out = [_reached(ids[i], linked[i]) for i in np.flatnonzero(linked.any(axis=(1, 2)))]
+    top = min(k, size - 1)
+    same = comp[:, :, None] == comp[:, None, :]
+    mixed = np.flatnonzero(same.sum(axis=(1, 2)) > size)
+    masked = np.where(same, -2, sims)
+    for who, part_of, least in ((mixed, sims, floor), (slice(None), masked, outer)):
+        named, near, least = ids[who], part_of[who], least[who]
+        part = np.argpartition(-near, top - 1, axis=2)[:, :, :top]
+        s = np.take_along_axis(near, part, axis=2)
+        i, r, c = np.nonzero(s > least[:, :, None])
+        out.append((named[i, r], named[i, part[i, r, c]], s[i, r, c]))
+    return out
+
+
 def _edges(parts: list) -> pa.Table:
     u, v, s = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3))
     return pa.table({"u": u.astype(np.int64), "v": v.astype(np.int64), "sim": pa.array(s.astype(np.float64), from_pandas=True)})
@@ -112,12 +132,11 @@ def _edges(parts: list) -> pa.Table:
 
 def _top(edges: DataFrame, k: int, comp: DataFrame) -> DataFrame:
     """Each class's k best neighbours (rank), and its k best outside its component (outer)."""
-    e = edges.filter("sim IS NOT NULL").groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    e = edges.filter("sim IS NOT NULL").repartition("u").groupBy("u", "v").agg(F.max("sim").alias("sim"))
     e = e.join(comp.select(F.col("node").alias("u"), F.col("comp").alias("cu")), "u", "left").join(comp.select(F.col("node").alias("v"), F.col("comp").alias("cv")), "v", "left")
     e = e.withColumn("apart", F.coalesce(F.col("cu") != F.col("cv"), F.lit(True)))
     best = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    outer = Window.partitionBy("u", "apart").orderBy(F.desc("sim"), "v")
-    e = e.withColumn("outer", F.when(F.col("apart"), F.row_number().over(outer))).withColumn("rank", F.row_number().over(best))
+    e = e.withColumn("rank", F.row_number().over(best)).withColumn("outer", F.when(F.col("apart"), F.count_if("apart").over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")))
     return e.filter((F.col("rank") <= k) | (F.col("outer") <= k)).select("u", "v", "sim", "rank", "outer")
 
 
@@ -206,12 +225,24 @@ def near_duplicates(
     extent = comp.agg(F.count("*").alias("nodes"), F.count_distinct("comp").alias("comps")).first()
 
     def descend(table: pa.Table) -> pa.Table:
+        """Members around each centre, each with each; centres of equally many members together."""
         parts = []
-        for _, g in groups_of(table, "center", "salt"):
-            ids, at = np.unique(g["member"].to_numpy(), return_index=True)
-            if len(ids) > 1:
-                m = _unit(g["v"].take(pa.array(at)), kind)
-                parts += _best(ids, m @ m.T, k, threshold, g["floor"].to_numpy()[at], g["out"].to_numpy()[at], g["comp"].to_numpy()[at])
+        sizes = pc.binary_length(table["v"]).to_numpy()
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            rows = rows[np.lexsort([table[c].to_numpy()[rows] for c in ("member", "salt", "center")])]
+            center, salt, member = (table[c].to_numpy()[rows] for c in ("center", "salt", "member"))
+            ids, at, row = np.unique(member, return_index=True, return_inverse=True)
+            m = _unit(table["v"].take(pa.array(rows[at])), kind)
+            floor, outer, side = (table[c].to_numpy()[rows[at]] for c in ("floor", "out", "comp"))
+            cut = np.flatnonzero(np.append(True, (center[1:] != center[:-1]) | (salt[1:] != salt[:-1])))
+            many = np.diff(np.append(cut, len(row)))
+            for s in np.unique(many[many > 1]).tolist():
+                first, step = cut[many == s], max(1, CELLS // s**2)
+                for lo in range(0, len(first), step):
+                    at = row[first[lo : lo + step, None] + np.arange(s)]
+                    x = m[at]
+                    parts += _best_of_each(ids[at], x @ x.transpose(0, 2, 1), k, threshold, floor[at], outer[at], side[at])
         return _edges(parts)
 
     audit = reps.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(audit_rows).select("id", "v").toArrow()
@@ -233,6 +264,9 @@ def near_duplicates(
             yield from _edges(parts).to_batches()
 
     true = scratch.keep(reps.select("id", "v").mapInArrow(truth, EDGES).select("u", "v"), "audit")
+    # where all vectors fit a broadcast they join rows already dealt, and are not shuffled themselves
+    wide = reps.select("id", "v", *[F.lit(0.0).alias(c) for c in ("floor", "out", "comp")])
+    few = checked_broadcast(wide, most_bytes=32 << 20) is not wide
     for step in itertools.count():
         floor = knn.groupBy("u").agg(F.min(F.when(F.col("rank") == k, F.col("sim"))).alias("floor"), F.min(F.when(F.col("outer") == k, F.col("sim"))).alias("out")).withColumnRenamed("u", "id")
         known = reps.select("id", "v").join(floor, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
@@ -241,9 +275,10 @@ def near_duplicates(
         near = knn.select(F.col("u").alias("center"), F.col("v").alias("member"))
         far = knn.select(F.col("v").alias("center"), F.col("u").alias("member"))
         split = near.join(back, "center", "left").select("center", "member", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-        met = split.unionByName(far.join(back, "center").select("center", "member", F.pmod(F.xxhash64("member"), F.col("salts")).alias("salt"))).distinct()
+        met = split.unionByName(far.join(back, "center").select("center", "member", F.pmod(F.xxhash64("member"), F.col("salts")).alias("salt")))
         groups = 1 + n * 2 * k // GROUP_ROWS
-        dealt = met.join(known, "member").withColumn("g", F.pmod(F.xxhash64("center", "salt"), F.lit(groups)))
+        met = met.withColumn("g", F.pmod(F.xxhash64("center", "salt"), F.lit(groups)))
+        dealt = met.repartition("g").distinct().join(F.broadcast(known), "member") if few else met.distinct().join(known, "member")
         found = scratch.keep(dealt.groupBy("g").applyInArrow(descend, EDGES), f"found-{step}")
         joined = found.filter("sim IS NULL").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
         comp = components(scratch, comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(joined))

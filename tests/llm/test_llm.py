@@ -162,6 +162,46 @@ def test_embedding_pairs_are_compared_when_the_audit_fails(spark, monkeypatch):
     assert all((got[i]["n_links"], got[i]["component_id"]) == (1, comp[i]) for i in range(400))
 
 
+@pytest.mark.parametrize("size", [2, 5, 30])
+def test_embedding_groups_of_one_size_at_once(size):
+    """Many groups compared together give what each gives alone."""
+    r = np.random.default_rng(size)
+    ids = np.array([np.sort(r.permutation(500)[:size]) for _ in range(40)])
+    x = r.standard_normal((40, size, 8))
+    x[::3, 1] = x[::3, 0] + 0.01
+    x = _unit_rows(x)
+    floor, outer, comp = r.uniform(-0.5, 0.5, (40, size)), r.uniform(-0.5, 0.5, (40, size)), np.where(np.arange(40)[:, None] % 2, ids, ids // 50)
+    sims = x @ x.transpose(0, 2, 1)
+    one = [part for i in range(40) for part in embedding_dedup._best(ids[i], sims[i].copy(), 4, 0.9, floor[i], outer[i], comp[i])]
+    rows = [sorted((*q, repr(s)) for p in parts for *q, s in zip(*(a.tolist() for a in p), strict=True)) for parts in (one, embedding_dedup._best_of_each(ids, sims, 4, 0.9, floor, outer, comp))]
+    assert rows[0] and rows[0] == rows[1]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_embedding_vectors_of_two_lengths(spark, monkeypatch, few):
+    """Vectors that fit a broadcast are not shuffled after the join; whether they do changes no result."""
+    r, plans, keep = np.random.default_rng(8), [], embedding_dedup.Scratch.keep
+    sets = [r.standard_normal((n, d)) for n, d in ((150, 16), (90, 8))]
+    for x in sets:
+        x[20:60] = x[20] + 0.2 * r.standard_normal((40, x.shape[1]))
+
+    def noted(self, df, tag):
+        if tag.startswith("found"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, tag)
+
+    monkeypatch.setattr(embedding_dedup.Scratch, "keep", noted)
+    if not few:
+        monkeypatch.setattr(embedding_dedup, "checked_broadcast", lambda df, **_: df)
+    d = spark.createDataFrame([(2 * i + j, v.tolist()) for j, x in enumerate(sets) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {q["vec_id"]: q for q in embedding_dedup.near_duplicates(d, k=4).collect()}
+    for j, x in enumerate(sets):
+        links, comp = _brute(_unit_rows(x))
+        assert links.any() and all((got[2 * i + j]["n_links"], got[2 * i + j]["component_id"]) == (links[i], 2 * comp[i] + j) for i in range(len(x)))
+    if few:
+        assert plans and all("Exchange" not in p[p.index("FlatMapGroupsInArrow") : p.index("BroadcastHashJoin [member")] for p in plans)
+
+
 def test_chat(spark):
     a = [("user", "hi"), ("bot", "yo"), ("user", "x"), ("bot", None)]
     convs = {1: a[:2], 2: a, 3: a, 4: a[:1] + [("bot", "other")], 5: [("user", "x")], 6: a[:3]}
