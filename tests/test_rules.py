@@ -195,6 +195,24 @@ def test_close_words_meet_whatever_their_length(spark):
     assert {r["token_lower"]: (r["distance"], r["suggestion"]) for r in out} == best
 
 
+def test_close_words_meet_by_what_they_have_in_common(spark):
+    """Short words, and words on both sides of the length from which parts are compared; words that merely share parts do not meet."""
+    from manuscribe.functions.similarity import close_pairs
+
+    lex = ["ab", "a", "abc", "x" + "ab" * 11 + "c", "x" + "ab" * 12]
+    out = lexical.suggestions(spark.createDataFrame([("ac",), ("x" + "ab" * 11 + "cde",), ("x" + "ab" * 11,)], "token_lower string"), spark.createDataFrame([(w, 1) for w in lex], "word string, n long")).collect()
+    assert {r["token_lower"]: (r["suggestion"], r["distance"]) for r in out} == {"ac": ("a", 1), "x" + "ab" * 11 + "cde": ("x" + "ab" * 11 + "c", 2), "x" + "ab" * 11: ("x" + "ab" * 11 + "c", 1)}
+    names = {"k" + "abcdefghijklmnopqrst": 5, "k" + "abcdefghijklmnopqrstuvwx": 1}
+    got = lexical.name_drift(spark.createDataFrame(list(names.items()), "token_lower string, n long")).collect()
+    assert [(r["canonical"], r["variant"]) for r in got] == [tuple(names)]
+
+    syllables = ["th", "on", "er", "an", "in", "re", "ou", "st"]
+    words = ["th" + a + b + c for a in syllables for b in syllables for c in syllables]
+    keyed = [spark.createDataFrame([(w, w, w[0]) for w in ws], "key string, word string, first string") for ws in (words[::2], words[1::2])]
+    met = close_pairs(*keyed, lambda n, m: F.greatest(n, m) - 1, lambda n, m: F.lit(1), lambda m: m - 1, lambda m: m + 1, 1, 24).distinct().collect()
+    assert met and all(lcs(r["lkey"], r["rkey"]) >= 7 for r in met)
+
+
 def test_a_line_of_closers_ends_no_sentence(spark):
     docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven.\n\u201d)"), (2, "one two three four five six seven eight nine ten eleven")], "doc_id long, text string")
     assert [r["doc_id"] for r in structure.paragraph_no_terminal(lines(docs)).collect()] == [2]
