@@ -13,6 +13,8 @@ from ..functions.text import ASCII_WORD, UNICODE_WORD, like_case, token_array, t
 
 #: Words up to this length, with as many ways to leave characters out, meet under what is left; longer ones under their parts.
 LONGEST_CUT, MOST_CUTS = 24, 1200
+#: So many first pieces of phrases are looked for in place; with more, every piece meets the phrases in a join.
+MOST_FIRSTS = 10_000
 
 # Fixed values.
 KEEP_WORDS = ["programme", "jewellery", "kerb", "tyre", "draught", "honour", "traveller", "mould", "sombre", "armour", "rumour", "savour", "clamour", "labour", "favour", "flavour"]
@@ -109,17 +111,19 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(doc_id, phrase and the other columns of `phrases`, n): whole-word hits in any case.
 
     Texts are cut into words and the characters between them, so that a phrase
-    matches only where its own separators stand. Pieces meet the phrases' first
-    pieces; only there the rest is compared. `phrases` is a rule table.
+    matches only where its own separators stand. Where a phrase's first piece
+    stands, as many pieces as the longest phrase has are compared; only these
+    leave the text. `phrases` is a rule table.
     """
     pieces = r"(?U)[\w]+|[^\w]+"
     cut = lambda c: F.regexp_extract_all(F.lower(c), F.lit(pieces), F.lit(0))
     p = phrases.withColumn("_parts", cut(F.col("phrase"))).withColumn("_first", F.element_at("_parts", 1))
-    firsts = p.select("_first").distinct()
+    longest = max(p.agg(F.max(F.size("_parts"))).first()[0] or 0, 1)
+    firsts = [r[0] for r in p.select("_first").filter("_first IS NOT NULL").distinct().limit(MOST_FIRSTS + 1).collect()]
+    starts = lambda x: x.isin(firsts) if len(firsts) <= MOST_FIRSTS else F.lit(True)
     rows = docs.select("doc_id", cut(F.coalesce("text", F.lit(""))).alias("_t"))
-    longest = p.agg(F.max(F.size("_parts"))).first()[0] or 0
-    at = rows.select("doc_id", F.posexplode(F.transform("_t", lambda x, i: F.struct(x.alias("w"), i.alias("i")))).alias("_i", "_x"), "_t").select("doc_id", "_i", F.col("_x.w").alias("_first"), "_t")
-    near = at.join(firsts, "_first", "left_semi").select("doc_id", "_first", F.slice("_t", F.col("_i") + 1, F.lit(max(longest, 1))).alias("_ahead"))
+    ahead = F.transform("_t", lambda x, i: F.when(starts(x), F.slice("_t", i + 1, F.lit(longest))))
+    near = rows.select("doc_id", F.explode(F.filter(ahead, lambda x: x.isNotNull())).alias("_ahead")).withColumn("_first", F.element_at("_ahead", 1))
     hit = near.join(p, "_first").filter(F.slice("_ahead", F.lit(1), F.size("_parts")) == F.col("_parts"))
     return hit.groupBy("doc_id", *phrases.columns).agg(F.count("*").alias("n"))
 

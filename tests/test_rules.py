@@ -213,6 +213,22 @@ def test_close_words_meet_by_what_they_have_in_common(spark):
     assert met and all(lcs(r["lkey"], r["rkey"]) >= 7 for r in met)
 
 
+def generated(df):
+    """The columns that the plan's explodes carry along."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {re.sub(r"#.*", "", c.strip()) for at in re.findall(r"Generate .*\), \[([^\]]*)\], (?:true|false), \[", plan) for c in at.split(",")}
+
+
+def test_phrases_do_not_carry_texts_along(spark):
+    """A hit's row holds the pieces ahead, not its whole text; hits are those of neighbours, ends and other separators."""
+    d = docs(spark, "Of the of the, of  the OF THE", "of the", "the of", None, "")
+    got = lexical.phrase_hits(d, lexical.table(spark, [("of the",), ("the of the",), ("the",)], ("phrase",)))
+    assert {(r["doc_id"], r["phrase"]): r["n"] for r in got.collect()} == {(0, "of the"): 3, (0, "the of the"): 2, (0, "the"): 4, (1, "of the"): 1, (1, "the"): 1, (2, "the"): 1}
+    assert "_t" not in generated(got)
+
+
 def test_a_line_of_closers_ends_no_sentence(spark):
     docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven.\n\u201d)"), (2, "one two three four five six seven eight nine ten eleven")], "doc_id long, text string")
     assert [r["doc_id"] for r in structure.paragraph_no_terminal(lines(docs)).collect()] == [2]
