@@ -6,11 +6,13 @@ only hits without a sentence see the whole text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import sentences, strip
+from ..functions.text import sentences, strip, token_array
 
 # Fixed values.
 WIDTH, HEAD = 60, 120
@@ -111,6 +113,22 @@ def first_contexts(hits: DataFrame, key: str, *order: str, most: int = MOST_CONT
     return hits.withColumn("no", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("no") <= most)
 
 
+def first_lines(lines: DataFrame, wanted: Callable[[Column], Column], most: int = MOST_CONTEXTS) -> DataFrame:
+    """(token_lower, no, doc_id, line_no, line): the first `most` different lines (doc_id, line_no, line) of every wanted word.
+
+    Words are ranked by places alone, and their lines fetched for the places
+    that are left, so no line is copied for each of its words. Equal places
+    share a rank; where texts share an id, lines are numbered once more.
+    """
+    words = F.array_distinct(F.transform(F.filter(token_array(F.col("line")), wanted), F.lower))
+    at = lines.select(F.explode(words).alias("token_lower"), "doc_id", "line_no")
+    rank = F.dense_rank().over(Window.partitionBy("token_lower").orderBy("doc_id", "line_no"))
+    near = at.withColumn("_r", rank).filter(F.col("_r") <= most).select("token_lower", F.col("doc_id").alias("_d"), F.col("line_no").alias("_n")).distinct()
+    found = near.join(lines, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_n") == F.col("line_no"))).filter(F.array_contains(words, F.col("token_lower")))
+    found = found.select("token_lower", "doc_id", "line_no", "line").distinct()
+    return first_contexts(found, "token_lower", "doc_id", "line_no", most=most).select("token_lower", "no", "doc_id", "line_no", "line")
+
+
 def title_of(file_name: Column) -> Column:
     """A book's title from its file name: no suffix, _ and - as spaces, each run of letters with a first capital."""
     stem = F.trim(F.translate(F.regexp_replace(file_name, r"\.docx$", ""), "_-", "  "))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import lines, tokens
+from ..functions.text import lines
 from ..operators import chapters, contexts, grammar, lexical, phrases, runs, structure
 from ..sources import rules
 from .queries import _SIMILE, NOT_W, W, _docs, _lines_sql, _phrase_sql, _query, seed
@@ -91,8 +91,7 @@ _CONTEXT_SQL = rf"""{_lines_sql()}, t AS (SELECT doc_id, line_no, line, unnest(r
 @_query(f"WITH {_CONTEXT_SQL} SELECT token_lower, CAST(no AS INTEGER) AS no, doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY token_lower ORDER BY doc_id, line_no) AS no FROM c) WHERE no <= 10")
 def name_contexts(spark, sf_dir):
     """The first ten lines of every capitalised word."""
-    t = tokens(lines(_docs(spark, sf_dir)), "line", "doc_id", "line_no", "line").filter(F.col("token").rlike("^[A-Z]") & (F.length("token") >= 3))
-    return contexts.first_contexts(t.select(F.lower("token").alias("token_lower"), "doc_id", "line_no", "line").distinct(), "token_lower", "doc_id", "line_no")
+    return contexts.first_lines(lines(_docs(spark, sf_dir)), lambda x: x.rlike("^[A-Z]") & (F.length(x) >= 3))
 
 
 _TITLED = "concat(source, '_', lang, '-the o''book.docx')"

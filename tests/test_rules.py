@@ -229,6 +229,18 @@ def test_phrases_do_not_carry_texts_along(spark):
     assert "_t" not in generated(got)
 
 
+def test_first_lines_of_words(spark):
+    """The first different lines of each word, repeated rows and ids included, without a copy of a line for each of its words."""
+    from manuscribe.operators import contexts
+
+    rows = [(1, "The A cat The\nthe\nThe end"), (1, "The A cat The\nthe\nThe end"), (0, "Cat and The"), (2, "The last")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = contexts.first_lines(lines(d), lambda x: x.rlike("^[A-Z]") & (F.length(x) >= 3), most=3)
+    want = {("the", 1, 0, 1, "Cat and The"), ("the", 2, 1, 1, "The A cat The"), ("the", 3, 1, 3, "The end"), ("cat", 1, 0, 1, "Cat and The")}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert "line" not in generated(got)
+
+
 def test_a_line_of_closers_ends_no_sentence(spark):
     docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven.\n\u201d)"), (2, "one two three four five six seven eight nine ten eleven")], "doc_id long, text string")
     assert [r["doc_id"] for r in structure.paragraph_no_terminal(lines(docs)).collect()] == [2]
