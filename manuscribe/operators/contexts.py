@@ -29,6 +29,12 @@ def bare(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"(?U)[^\w']", ""))
 
 
+def bare_words(sentence: Column, empty: Column) -> Column:
+    """The different bare words of a sentence, if asked the empty one too where something has no word character."""
+    words = F.split(F.lower(F.regexp_replace(sentence, r"(?U)[^\w'\s]", "")), r"(?U)\s+")
+    return F.array_union(F.array_remove(words, ""), F.when(empty & sentence.rlike(r"(?U)(?<!\S)[^\w'\s]+(?!\S)"), F.array(F.lit(""))).otherwise(F.expr("CAST(array() AS array<string>)")))
+
+
 def window(text: Column, start: Column, end: Column, width: int = WIDTH) -> Column:
     """The text from `width` characters before start (from 0) to `width` after end."""
     lo = F.greatest(start - width, F.lit(0))
@@ -38,22 +44,33 @@ def window(text: Column, start: Column, end: Column, width: int = WIDTH) -> Colu
 def by_word(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """hits (doc_id, word) with context: the first sentence that has the word, else 60 characters about a longer word with it, else the text's first 120.
 
-    Different words of a text are looked up once each; a null text gives an empty context.
+    Different words of a text are looked up once each, all in one pass over its
+    sentences, so its words are not shuffled; a null text gives an empty context.
     """
-    asked = hits.select("doc_id", "word").distinct().withColumn("target", bare(F.col("word")))
-    sents = docs.select("doc_id", F.posexplode(sentences(plain(F.col("text")))).alias("no", "sentence"))
-    words = F.array_distinct(F.transform(F.filter(F.split("sentence", r"(?U)\s+"), lambda x: x != ""), bare))
-    said = sents.select("doc_id", "no", F.explode(words).alias("target"))
-    first = said.join(asked.select("doc_id", "target").distinct(), ["doc_id", "target"], "left_semi").groupBy("doc_id", "target").agg(F.min("no").alias("no"))
-    first = first.join(sents, ["doc_id", "no"]).select("doc_id", "target", strip(F.col("sentence")).alias("context"))
-    found = asked.join(first, ["doc_id", "target"], "left")
-    left = found.filter("context IS NULL").select("doc_id", "word", "target").join(docs.select("doc_id", "text"), "doc_id", "left")
+    asked = hits.select("doc_id", "word").distinct().groupBy("doc_id").agg(F.collect_set("word").alias("_asked")).withColumn("_targets", F.array_distinct(F.transform("_asked", bare)))
+    # a text is more work than its bytes: tasks are dealt by texts
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = asked.join(docs.select("doc_id", "text").repartition(tasks, "doc_id"), "doc_id", "left").select("doc_id", "_asked", "_targets", F.coalesce("text", F.lit("")).alias("text"))
+    said = F.transform(sentences(plain(F.col("text"))), lambda x: F.struct(x.alias("sentence"), F.array_intersect(bare_words(x, F.array_contains("_targets", "")), F.col("_targets")).alias("found")))
+    # one after another, each sentence adds the words not found before
+    new = lambda seen, x: F.array_except(x["found"], F.transform(seen, lambda y: y["target"]))
+    first = F.aggregate(
+        F.filter(said, lambda x: F.size(x["found"]) > 0),
+        F.expr("CAST(array() AS array<struct<target: string, sentence: string>>)"),
+        lambda seen, x: F.concat(seen, F.transform(new(seen, x), lambda t: F.struct(t.alias("target"), x["sentence"].alias("sentence")))),
+    )
+    rows = rows.select("doc_id", "_asked", "text", first.alias("_first"))
     low, text = F.lower(plain(F.col("text"))), plain(F.col("text"))
-    longer = F.coalesce(F.regexp_substr(low, F.concat(F.lit(r"(?U)\b\w*\Q"), F.col("target"), F.lit(r"\E\w*\b"))), F.lit(""))
-    at = F.position(longer, low) - 1
-    fuzzy = window(text, at, at)
-    rest = left.select("doc_id", "word", F.when(longer != "", fuzzy).otherwise(F.substring(strip(F.coalesce("text", F.lit(""))), 1, HEAD)).alias("context"))
-    return hits.join(found.filter("context IS NOT NULL").select("doc_id", "word", "context").unionByName(rest), ["doc_id", "word"])
+
+    def context(word: Column) -> Column:
+        said = F.filter("_first", lambda x: x["target"] == bare(word))
+        longer = F.coalesce(F.when(F.contains(low, bare(word)), F.regexp_substr(low, F.concat(F.lit(r"(?U)\b\w*\Q"), bare(word), F.lit(r"\E\w*\b")))), F.lit(""))
+        at = F.position(longer, low) - 1
+        rest = F.when(longer != "", window(text, at, at)).otherwise(F.substring(strip(F.col("text")), 1, HEAD))
+        return F.struct(word.alias("word"), F.when(F.size(said) > 0, strip(F.get(said, F.lit(0))["sentence"])).otherwise(rest).alias("context"))
+
+    return hits.join(rows.select("doc_id", F.explode(F.transform("_asked", context)).alias("_x")).select("doc_id", "_x.word", "_x.context"), ["doc_id", "word"])
 
 
 def by_offset(hits: DataFrame, docs: DataFrame) -> DataFrame:

@@ -241,6 +241,19 @@ def test_first_lines_of_words(spark):
     assert "line" not in generated(got)
 
 
+def test_contexts_of_words_in_one_pass(spark):
+    """First sentences, longer words, heads, and texts that are null, missing or full of odd words; words are not shuffled."""
+    from manuscribe.operators import contexts
+
+    long = "x " * 100
+    d = docs(spark, "One the. Two The-n! The end. \u2014 Dash it.", f"{long}leather {long}", None, "  plain text ")
+    hits = spark.createDataFrame([(0, "The"), (0, "then"), (0, "..."), (0, "it"), (1, "eat"), (2, "a"), (3, "zz"), (7, "b")], "doc_id long, word string")
+    out = contexts.by_word(hits, d)
+    want = {(0, "The"): "One the.", (0, "then"): "Two The-n!", (0, "..."): "One the. Two The-n! The end.   Dash it.", (0, "it"): "Dash it.", (1, "eat"): (long[-60:] + "leather " + long)[:120].strip(), (2, "a"): "", (3, "zz"): "plain text", (7, "b"): ""}
+    assert {(r["doc_id"], r["word"]): r["context"] for r in out.collect()} == want
+    assert generated(out) <= {"doc_id"}
+
+
 def test_a_line_of_closers_ends_no_sentence(spark):
     docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven.\n\u201d)"), (2, "one two three four five six seven eight nine ten eleven")], "doc_id long, text string")
     assert [r["doc_id"] for r in structure.paragraph_no_terminal(lines(docs)).collect()] == [2]
