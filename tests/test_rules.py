@@ -254,6 +254,32 @@ def test_contexts_of_words_in_one_pass(spark):
     assert generated(out) <= {"doc_id"}
 
 
+def test_near_phrases_across_bands_and_chunks(spark, monkeypatch):
+    """All pairs of lines of many lengths, in one chunk and in several; tokens are not listed for a join."""
+    import random
+
+    rng, text = random.Random(5), []
+    for _ in range(60):
+        base = [rng.choice(["an", "the", "of", "wolf", "heron", "stone", "rivers"]) + rng.choice(["", "s", "ed"]) for _ in range(rng.randrange(4, 40))]
+        text.append(" ".join(base))
+        for _ in range(3):
+            ws = base[:]
+            for _ in range(rng.randrange(1, 3)):
+                ws[rng.randrange(len(ws))] += rng.choice(["x", "y", " a", "."])
+            text.append(" ".join(ws))
+    text = sorted({x for x in text if len(x) >= 15})
+    key = [(" ".join(sorted(x.split())), set(x.split())) for x in text]
+    want = {
+        frozenset((text[i], text[j])) for i, (a, s) in enumerate(key) for j, (b, t) in enumerate(key[:i]) if len(s & t) >= 0.6 * min(len(s), len(t)) - 1e-9 and 200 * lcs(a, b) >= 95 * (len(a) + len(b)) - 1e-9
+    }
+    for most in (150_000, 10):
+        monkeypatch.setattr(phrases, "MOST_PHRASES", most)
+        out = phrases.near_repeats(phrases.phrase_lines(docs(spark, "Chapter 1\n" + "\n".join(text[::2]), "\n".join(text[1::2]), None)))
+        got = [frozenset((r["phrase_a"], r["phrase_b"])) for r in out.collect()]
+        assert set(got) == want and len(got) == len(want) > 60
+        assert not generated(out) & {"key", "size"}
+
+
 def test_a_line_of_closers_ends_no_sentence(spark):
     docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven.\n\u201d)"), (2, "one two three four five six seven eight nine ten eleven")], "doc_id long, text string")
     assert [r["doc_id"] for r in structure.paragraph_no_terminal(lines(docs)).collect()] == [2]
